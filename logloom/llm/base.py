@@ -54,7 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def written_bytes(df: DataFrame) -> int:
     """Bytes of a table from written()."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:

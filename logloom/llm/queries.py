@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, decontaminate, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op9_chat": chat.op9_chat,
 }
