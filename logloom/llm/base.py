@@ -64,3 +64,22 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
 
 def arrow_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def fold(doc_id: str = "doc_id"):
+    """crc32 of the id as text, mod 3; rows of fold 1 are held out of every fit. A null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3
+
+
+#: A fit uses at most so many labelled rows (those first in order of a hash of their ids), each of at most so many characters: what the driver holds is bounded.
+TRAIN_ROWS, TRAIN_CHARS = 4000, 50_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
+    """Texts and labels to fit on: labelled rows outside fold 1. The ids joined are at most `rows`, so they may be broadcast."""
+    known = labels.where(F.col(label).isNotNull() & (fold() != 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS)
+    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h")).collect()
+    found.sort(key=lambda r: (r["h"], r["text"]))
+    return [r["text"] for r in found], [int(r["y"]) for r in found]

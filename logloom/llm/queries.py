@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality_rules, simhash
+from . import chat, decontaminate, licences, mixing, pii, quality_rules, simhash, subwords, templates, toxicity
 
 QUERIES = {
+    "op1_html_extraction": templates.op1_html_extraction,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_pii": pii.op4_pii,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_licences": licences.op8_licences,
     "op9_chat": chat.op9_chat,
+    "op10_quality_classifier": subwords.op10_quality_classifier,
 }
 ORACLE_SQL = {
     "op7_mixing": mixing.OP7_SQL,
