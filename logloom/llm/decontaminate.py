@@ -141,6 +141,14 @@ def digest(found: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    added = ("n_words", "word_spans", "char_spans", "items", "n_hit", "n_items", "items_sha256", "contaminated")
+    aside = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in added})
+    clean = digest(find_leaks(aside, benchmark)).where(~F.col("contaminated"))
+    return clean.select(*(F.col(f"`_own_{c}`" if c in added else f"`{c}`").alias(c) for c in docs.columns))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return digest(find_leaks(docs, benchmark, drop_text=True)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

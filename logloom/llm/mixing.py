@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, table, word_count, written, join_small
+from .base import WORD, table, word_count, written
 
 #: Weights of the sources in order of name, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -53,29 +53,41 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return F.when(F.abs(rise) < 1e-12, share).otherwise((F.sqrt(start * start + 2 * rise * share * area) - start) / rise)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, sort: bool = True) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies, position for every row of docs (doc_id, text, source), sorted by position.
+def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, carry: tuple[str, ...] = (), sort: bool = True) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies, positions (of the copies taken, in order), and the columns to carry, for every row of docs, sorted by first position.
 
     The order in a source is that of an MD5 of the row; words before a document are those of earlier buckets plus those
     before it in its own bucket. Copy e of a document stands e * source_size further on; it is taken if its middle lies
     below the target.
     """
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("_key"))
-    rows = written(rows.select("*", F.substring("_key", 1, BUCKET_DIGITS).alias("_bucket"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source")), "mix")
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("_key"), F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"), name.alias("_source"), *(F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry))
+    rows = rows if carry else written(rows, "mix")
     buckets = written(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"), F.first("source").alias("source")), "mix-buckets")
     sizes = buckets.groupBy("_source").agg(F.sum("_words").alias("source_size"), F.first("source").alias("source"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, max_repeat).withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    targets = source_targets(sizes.select("source", "source_size"), weights, max_repeat).withColumn("_source", name).drop("source")
     earlier = F.sum("_words").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_words")
     starts = buckets.select("_source", "_bucket", earlier.alias("_start")).join(targets, "_source")
     inner = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_inner", F.sum("size").over(inner) - F.col("size")).join(starts, ["_source", "_bucket"])
     middle = F.col("_start") + F.col("_inner") + F.col("size") / F.lit(2.0)
-    copies = sum(((middle + F.lit(float(e)) * F.col("source_size") < F.col("target")).cast("long") for e in range(max_repeat)), F.lit(0).cast("long"))
-    out = placed.withColumn("copies", copies).withColumn("_share", F.when(F.col("target") > 0, F.least(middle / F.col("target"), F.lit(1.0))).otherwise(F.lit(1.0)))
-    out = out.withColumn("position", position(F.col("_share"), _pick(tuple(a for a, _ in schedules), F.col("rank")), _pick(tuple(b for _, b in schedules), F.col("rank"))))
-    out = out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "position")
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id") if sort else out
+    start, end = (_pick(tuple(s[i] for s in schedules), F.col("rank")) for i in (0, 1))
+    at = lambda e: middle + F.lit(float(e)) * F.col("source_size")
+    copies = sum(((at(e) < F.col("target")).cast("long") for e in range(max_repeat)), F.lit(0).cast("long"))
+    positions = F.filter(F.array(*(F.when(at(e) < F.col("target"), position(at(e) / F.col("target"), start, end)) for e in range(max_repeat))), lambda p: p.isNotNull())
+    out = placed.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), positions.alias("positions"), *(F.col(f"_carry_{c}").alias(c) for c in carry))
+    if not sort:
+        return out
+    first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0))  # documents that are not taken stand behind
+    return out.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id")
+
+
+def training_order(docs: DataFrame, carry: tuple[str, ...] = ("text",)) -> DataFrame:
+    """A row for each copy that the mix takes, sorted by position: position, copy (from 0), doc_id, source, size and the columns to carry."""
+    taken = mix(docs, carry=carry, sort=False).select("doc_id", "source", "size", *carry, F.posexplode("positions").alias("copy", "position"))
+    out = taken.select("position", "copy", "doc_id", "source", "size", *carry)
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,15 +83,20 @@ def counts(text: str | None) -> tuple[int, ...]:
     return (len(words), len(data.translate(None, _CONTINUATION + _SPACE)), without(SYMBOLS), len(lines) - len(set(lines)), repeated(words), without(_UPPER), without(_MARKS), len(lines))
 
 
+def measure(texts) -> tuple[np.ndarray, np.ndarray]:
+    """counts() of each text, and vectors of: log word length, and square roots of the shares of symbols, repeated lines, repeated words, capitals and marks."""
+    c = np.array([counts(t) for t in texts], np.int64).reshape(-1, 8)
+    some = np.maximum(c, 1).astype(float)
+    return c, np.stack([np.log(some[:, 1] / some[:, 0]), *(np.sqrt(c[:, a] / some[:, b]) for a, b in ((2, 1), (3, 7), (4, 0), (5, 1), (6, 1)))], axis=1)
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, lang, source with COUNTS and the vector x, whose components are: log word length, and square roots of the shares of symbols, repeated lines, repeated words, capitals and marks."""
+    """docs' doc_id, lang, source with COUNTS and the vector x."""
     arrow_rows(docs.sparkSession)
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            c = np.array([counts(t) for t in frame.pop("text")], np.int64).reshape(-1, 8)
-            some = np.maximum(c, 1).astype(float)
-            x = np.stack([np.log(some[:, 1] / some[:, 0]), *(np.sqrt(c[:, a] / some[:, b]) for a, b in ((2, 1), (3, 7), (4, 0), (5, 1), (6, 1)))], axis=1)
+            c, x = measure(frame.pop("text"))
             yield frame.assign(**{k: c[:, i] for i, k in enumerate(COUNTS)}, x=list(x))
 
     rows = docs.select("doc_id", "lang", "source", "text")
@@ -154,14 +159,39 @@ def fit(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return now
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, lang, source, COUNTS, base_failed, d2 (squared distance; null if no group was fitted) and kept for every row of docs."""
+def fitted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """measured() rows with base_failed and the names l, s, g of their group; and l, s, mean, precision for every language and source."""
     rows = written(measured(docs).withColumns({"base_failed": base_failed(), "l": _named("lang"), "s": _named("source")}), "measured")
-    rows = join_small(rows, group_names(rows), ["l", "s"])
+    names = group_names(rows)
+    rows = join_small(rows, names, ["l", "s"])
     model = fit(rows.where(~F.col("base_failed")).select("g", "x"))
-    out = join_small(rows, model, ["g"]).withColumn("d2", distance())
+    return rows, written(names.join(model, "g").select("l", "s", "mean", "precision"), "model")
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """doc_id, lang, source, COUNTS, base_failed, d2 (squared distance; null if no group was fitted) and kept for every row of docs."""
+    rows, model = fitted(docs)
+    out = join_small(rows, model, ["l", "s"]).withColumn("d2", distance())
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).drop("l", "s", "g", "x", "mean", "precision")
 
 
+def keep(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns. Texts are measured again where they lie instead of being joined to verdicts."""
+    model = fitted(docs)[1].select(F.col("l").alias("_l"), F.col("s").alias("_s"), F.col("mean").alias("_mean"), F.col("precision").alias("_precision"))
+    names, schema = docs.columns, docs.schema
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            c, x = measure(frame["text"])
+            ok = (c[:, 0] >= MIN_WORDS) & (100 * c[:, 4] <= MAX_REPEAT_PERCENT * c[:, 0])
+            for i, (mean, precision) in enumerate(zip(frame["_mean"], frame["_precision"], strict=True)):
+                if ok[i] and mean is not None:
+                    z = x[i] - np.asarray(mean)
+                    ok[i] = z @ np.asarray(precision).reshape(DIM, DIM) @ z <= cutoff
+            yield frame.loc[ok, names]
+
+    return join_small(docs.withColumns({"_l": _named("lang"), "_s": _named("source")}), model, ["_l", "_s"]).drop("_l", "_s").mapInPandas(apply, schema)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).select("doc_id", *COUNTS, "base_failed", "kept")

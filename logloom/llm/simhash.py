@@ -162,13 +162,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs less all but one of each group: the one of the smallest doc_id (nulls last), of equal ones that of the smallest text hash."""
-    groups = near_duplicates(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    winners = written(groups.groupBy("root").agg(first.alias("w")).select("w.doc_id", "w.text_hash"), "winners")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.alias("d").join(winners.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (text_hash == F.col("w.text_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id"] if "text" not in docs.columns else ["doc_id", "text"])
+    """The rows of docs less all but one of each group: the one of the smallest doc_id (nulls last), of equal ids that of the smallest text hash, of equal rows any."""
+    groups = near_duplicates(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n"))
+    winners = written(groups.groupBy("root").agg(first.alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"), F.col("w.n").alias("_n")), "winners")
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners["_id"]) & (text_hash == winners["_hash"]))
+    if winners.where("_n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.where("_n = 1").select(*docs.columns)
+    return once.unionByName(kept.where("_n > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
