@@ -1,12 +1,464 @@
-"""Queries over the sample tables, one or more for each operator."""
+"""Queries over the sample tables, one or more for each operator, with SQL that gives the same rows.
+
+Tables are written out as lines, the lines are parsed back, and the SQL works on the tables themselves. Names that begin
+with host_ stand for what the host engine brings along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+from collections.abc import Callable
+
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.text import between, extract, human_bytes
+from .functions.tokenizer import last_key_wins, parse_map, parse_pairs, render
+from .functions.values import as_string, duration_interval, format_duration, infer_type
+from .operators import filters, rows
+from .operators.asof import asof_join
+from .options import ScanOptions
+from .plans.flagship import bytes_per_run
+from .plans.schema import infer
+from .sources import seekzst
+from .sources.datasource import register
+from .sources.reader import LogReader, scan_lines
+from .sources.sinks import write_parquet
+from .sources.units import UnitSource, unit_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+EVENT = {"event_id": "integer", "event_type": "string", "user_id": "integer", "value": "float"}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rfc3339(column: str, hours: int = 9):
+    """A time (UTC) as RFC 3339 text of another zone."""
+    shifted = F.col(column) + F.make_dt_interval(hours=F.lit(hours))
+    return F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(f"+{hours:02}:00"))
+
+
+def lines(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(render(list(columns or df.columns)).alias("value"))
+
+
+def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return lines(table(spark, sf_dir, "events"), *(columns or ("event_id", "user_id", "event_type", "value")))
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getuid()}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+# --- sources and parsing ---
+
+ALL_EVENTS = "SELECT event_id, event_type, user_id, value FROM events"
+
+
+@query(ALL_EVENTS)
+def scan_parse_events(spark, sf_dir):
+    return scan_lines(events(spark, sf_dir), ScanOptions(schema=EVENT))
+
+
+@query(ALL_EVENTS)
+def scan_builder(spark, sf_dir):
+    return LogReader(spark).from_lines(events(spark, sf_dir)).schema(EVENT).build()
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus FROM lineitem")
+def scan_typed_lineitem(spark, sf_dir):
+    names = {"l_orderkey": "integer", "l_linenumber": "integer", "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_returnflag": "string", "l_linestatus": "string"}
+    return scan_lines(lines(table(spark, sf_dir, "lineitem"), *names), ScanOptions(schema=names))
+
+
+@query("SELECT event_id, ts FROM events")
+def scan_datetime_rfc3339(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", rfc3339("ts").alias("ts"))
+    return scan_lines(lines(df), ScanOptions(schema={"event_id": "integer", "ts": "datetime"}))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name || ' of \\\"' || r_name || '\\\"' AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+def scan_quoted_values(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    df = df.select("n_nationkey", F.concat("n_name", F.lit(' of "'), "r_name", F.lit('"')).alias("place"))
+    return scan_lines(lines(df), ScanOptions(schema={"n_nationkey": "integer", "place": "string"}))
+
+
+@query("SELECT event_id, replace(props, '\"', '\\\"') AS props FROM events")
+def scan_escaped_json(spark, sf_dir):
+    return scan_lines(events(spark, sf_dir, "event_id", "props"), ScanOptions(schema={"event_id": "integer", "props": "string"}))
+
+
+@query("SELECT event_id, user_id * 1000 AS took FROM events")
+def scan_duration_micros(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("ms")).alias("took"))
+    return scan_lines(lines(df), ScanOptions(schema={"event_id": "integer", "took": "duration"}))
+
+
+@query("SELECT event_id, (event_id // 3600)::VARCHAR || 'h ' || (event_id % 3600)::VARCHAR || 's' AS words, event_id * 1000000 AS micros FROM events")
+def duration_words(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", F.concat(F.floor(F.col("event_id") / 3600).cast("string"), F.lit("h "), (F.col("event_id") % 3600).cast("string"), F.lit("s")).alias("words"))
+    out = scan_lines(lines(df.withColumn("micros", F.col("words"))), ScanOptions(schema={"event_id": "integer", "words": "string", "micros": "duration"}))
+    return out.select("event_id", "words", "micros")
+
+
+@query("""SELECT event_id, CASE WHEN event_id = 0 THEN '0s' ELSE concat_ws(' ', CASE WHEN event_id >= 3600 THEN (event_id // 3600)::VARCHAR || 'h' END, CASE WHEN event_id % 3600 >= 60 THEN (event_id % 3600 // 60)::VARCHAR || 'm' END,
+  CASE WHEN event_id % 60 > 0 THEN (event_id % 60)::VARCHAR || 's' END) END AS words FROM events WHERE event_id < 86400""")
+def duration_format(spark, sf_dir):
+    df = table(spark, sf_dir, "events").where("event_id < 86400")
+    return df.select("event_id", format_duration(F.col("event_id") * 1_000_000).alias("words"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id::DOUBLE ELSE event_id + 0.5::DOUBLE END AS n FROM events")
+def infer_widen_int_float(spark, sf_dir):
+    n = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise((F.col("event_id") + F.lit(0.5)).cast("string"))
+    return scan_lines(lines(table(spark, sf_dir, "events").select("event_id", n.alias("n"))), ScanOptions(infer_schema_length=None))
+
+
+@query("SELECT * FROM (VALUES ('event_id', 'integer'), ('event_type', 'string'), ('ts', 'datetime'), ('value', 'float'), ('took', 'duration')) t(name, kind)")
+def infer_schema(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") + F.lit(0.123)).alias("value"), rfc3339("ts").alias("ts"), F.lit("1s").alias("took"))
+    return spark.createDataFrame(sorted(infer(lines(df), 20).items()), "name string, kind string")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' WHEN 2 THEN 'duration' WHEN 3 THEN 'boolean' ELSE 'string' END AS kind FROM events""")
+def infer_types(spark, sf_dir):
+    n = F.col("event_id")
+    text = F.when(n % 5 == 0, n.cast("string")).when(n % 5 == 1, F.concat(n.cast("string"), F.lit(".5"))).when(n % 5 == 2, F.concat(n.cast("string"), F.lit("ms"))).when(n % 5 == 3, F.lit("Yes")).otherwise(F.concat(F.lit("x"), n.cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", infer_type(text).alias("kind"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events")
+def aligned_ragged_null(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("value"))
+    return scan_lines(lines(df), ScanOptions(schema={"event_id": "integer", "value": "float"}, aligned_cols_cnt=True))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN value ELSE 0 END AS value, CASE WHEN event_id % 7 <> 0 THEN event_type ELSE '' END AS event_type FROM events")
+def filled_ragged_default(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("event_type"))
+    return scan_lines(lines(df), ScanOptions(schema={"event_id": "integer", "event_type": "string", "value": "float"}))
+
+
+@query("SELECT event_id, 'user_id' AS k, user_id::VARCHAR AS v FROM events UNION ALL SELECT event_id, 'event_type', event_type FROM events")
+def explode_pairs(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    return df.select("event_id", F.inline(parse_pairs(render(["user_id", "event_type"]))))
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN user_id END AS again FROM events")
+def duplicate_key_last_wins(spark, sf_dir):
+    last_key_wins(spark)
+    line = F.concat(F.lit("k=old "), render(["event_type"]), F.lit(" k="), F.col("user_id").cast("string"))
+    row = parse_map(F.when(F.col("event_id") % 2 == 0, line).otherwise(render(["event_type"])))
+    return table(spark, sf_dir, "events").select("event_id", row.alias("row")).select("event_id", F.col("row")["event_type"].alias("event_type"), F.col("row")["k"].cast("bigint").alias("again"))
+
+
+class EventUnits(UnitSource):
+    """Lines of numbered blocks; an example of a source of units."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+
+    def count_units(self) -> int:
+        return len(self.texts)
+
+    def read_unit(self, index: int) -> bytes:
+        return self.texts[index].encode()
+
+
+@query("SELECT n_name AS name, n_nationkey::BIGINT AS number FROM nation")
+def unit_scan(spark, sf_dir):
+    names = [f'name="{r[0]}" number={r[1]}\n' for r in table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()]
+    units = EventUnits(["".join(names[:9]), "", "".join(names[9:])])
+    return scan_lines(unit_lines(spark, units), ScanOptions(schema={"name": "string", "number": "integer"}))
+
+
+@query("SELECT r_name AS name, r_regionkey::BIGINT AS number FROM region")
+def zst_scan(spark, sf_dir):
+    text = "".join(f'name="{r[0]}" number={r[1]}\n' for r in table(spark, sf_dir, "region").select("r_name", "r_regionkey").collect())
+    path = f"{shared(spark, 'zst')}.log.zst"
+    system, name = fs.FileSystem.from_uri(path)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(name) as out:
+        seekzst.write(text.encode(), out, 40)
+    register(spark)
+    return spark.read.format("logfmt").load(path)
+
+
+@query("SELECT event_id, event_type, user_id, value FROM events")
+def text_file_scan(spark, sf_dir):
+    path = shared(spark, "lines")
+    events(spark, sf_dir).write.text(path)
+    return LogReader(spark).source(path).schema(EVENT).build()
+
+
+@query("SELECT event_id, event_type, user_id, value FROM events")
+def parquet_sink_roundtrip(spark, sf_dir):
+    return spark.read.parquet(write_parquet(scan_parse_events(spark, sf_dir), shared(spark, "rows")))
+
+
+# --- filters ---
+
+
+@query("SELECT event_id, event_type, user_id, value FROM events WHERE event_type = 'error'")
+def line_filter_contains(spark, sf_dir):
+    return scan_lines(events(spark, sf_dir), ScanOptions(schema=EVENT, line_filter="event_type=error"))
+
+
+@query("SELECT event_id, event_type, user_id, value FROM events WHERE event_type LIKE '%c%'")
+def line_filter_function(spark, sf_dir):
+    return scan_lines(events(spark, sf_dir), ScanOptions(schema=EVENT, line_filter=lambda line: line.rlike("event_type=[a-z]*c")))
+
+
+@query("SELECT event_id, event_type, user_id, value FROM events WHERE value > 100")
+def row_filter_lambda(spark, sf_dir):
+    return scan_lines(events(spark, sf_dir), ScanOptions(schema=EVENT, row_filter=lambda row: row["value"].cast("double") > 100))
+
+
+def _spec(name: str, text: str, where: str) -> None:
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, "events").withColumn("event_type", F.when(F.col("event_id") % 10 != 0, F.col("event_type")))
+        return filters.filter_rows(scan_lines(lines(df, "event_id", "event_type"), ScanOptions(schema={"event_id": "integer", "event_type": "string"}, missing="null")), text)
+
+    run.__name__ = name
+    query(f"SELECT event_id, event_type FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type FROM events) WHERE {where}")(run)
+
+
+_spec("filter_eq", "event_type=error", "event_type = 'error'")
+_spec("filter_ne", "event_type != error", "event_type IS DISTINCT FROM 'error'")
+_spec("filter_contains", "event_type~ur", "contains(event_type, 'ur')")
+_spec("filter_not_contains", "event_type!~ur", "NOT coalesce(contains(event_type, 'ur'), false)")
+_spec("filter_always", "", "true")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts BETWEEN (SELECT min(ts) + INTERVAL 1 HOUR FROM events) AND (SELECT min(ts) + INTERVAL 1 DAY FROM events)")
+def time_range_inclusive(spark, sf_dir):
+    first = table(spark, sf_dir, "events").agg(F.date_format(F.min("ts") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.date_format(F.min("ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).first()
+    return filters.filter_time_range(scan_datetime_rfc3339(spark, sf_dir), "ts", first[0], first[1])
+
+
+@query("SELECT event_id, user_id FROM (SELECT * FROM events ORDER BY event_id LIMIT 50) WHERE user_id % 2 = 0")
+def limit_then_filter(spark, sf_dir):
+    return rows.first_rows(scan_parse_events(spark, sf_dir), 50, ["event_id"]).where("user_id % 2 = 0").select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id % 2 = 0 ORDER BY event_id LIMIT 50")
+def filter_then_limit(spark, sf_dir):
+    return rows.first_rows(scan_parse_events(spark, sf_dir).where("user_id % 2 = 0"), 50, ["event_id"]).select("event_id", "user_id")
+
+
+@query("SELECT event_id AS id, user_id + 1 AS next_user, value::BIGINT AS whole FROM (SELECT *, trunc(value) AS v FROM events) WHERE value = v OR true".replace("value::BIGINT", "trunc(value)::BIGINT"))
+def select_with_columns_rename_cast(spark, sf_dir):
+    out = scan_parse_events(spark, sf_dir).withColumns({"next_user": F.col("user_id") + 1, "whole": F.col("value").cast("bigint")})
+    return out.withColumnRenamed("event_id", "id").select("id", "next_user", "whole")
+
+
+@query("SELECT event_id, event_type FROM events WHERE NOT contains(event_type, 'i')")
+def not_contains_literal(spark, sf_dir):
+    return scan_parse_events(spark, sf_dir).where(~F.contains("event_type", F.lit("i"))).select("event_id", "event_type")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 10 = 0")
+def null_filter(spark, sf_dir):
+    return aligned_ragged_null(spark, sf_dir).where(F.col("value").isNull()).select("event_id")
+
+
+# --- functions ---
+
+
+@query("SELECT event_id, nullif(regexp_extract(p, '/out/([^/]+)/', 1), '') AS table_name, CASE WHEN event_id % 3 <> 0 THEN event_type END AS between_name FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN '/data/out/' ELSE '/data/out/' || event_type || '/x' END AS p FROM events)")
+def extract_table(spark, sf_dir):
+    path = F.when(F.col("event_id") % 3 == 0, F.lit("/data/out/")).otherwise(F.concat(F.lit("/data/out/"), "event_type", F.lit("/x")))
+    return table(spark, sf_dir, "events").select("event_id", extract(path, "/out/([^/]+)/").alias("table_name"), between(path, "/out/", "/").alias("between_name"))
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0::DOUBLE) ELSE printf('%.2f MB', b / 1048576.0::DOUBLE) END AS size FROM (SELECT *, (l_quantity * l_linenumber * l_suppkey * 100)::BIGINT AS b FROM lineitem)")
+def human_sizes(spark, sf_dir):
+    n = (F.col("l_quantity") * F.col("l_linenumber") * F.col("l_suppkey") * 100).cast("bigint")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), human_bytes(n).alias("size"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS micros, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events")
+def datetime_micros_and_text(spark, sf_dir):
+    out = scan_datetime_rfc3339(spark, sf_dir)
+    return out.select("event_id", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("micros"), F.substring(as_string(F.col("ts"), "datetime"), 1, 19).alias("stamp"))
+
+
+@query("SELECT event_id, user_id / 1000.0::DOUBLE AS seconds FROM events")
+def duration_as_interval(spark, sf_dir):
+    took = scan_duration_micros(spark, sf_dir)
+    return took.select("event_id", (F.extract(F.lit("SECOND"), duration_interval(F.col("took"))) + 60 * F.extract(F.lit("MINUTE"), duration_interval(F.col("took"))) + 3600 * F.extract(F.lit("HOUR"), duration_interval(F.col("took")))).cast("double").alias("seconds"))
+
+
+# --- aggregates, windows, orders ---
+
+
+@query("SELECT count(*) AS count FROM events")
+def count_star(spark, sf_dir):
+    return rows.aggregate(scan_parse_events(spark, sf_dir), "count")["count"]
+
+
+@query("SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
+def count_by(spark, sf_dir):
+    return rows.aggregate(scan_parse_events(spark, sf_dir), "count_by:event_type")["count_by:event_type"]
+
+
+@query("SELECT sum(user_id)::BIGINT AS bytes_sum FROM events")
+def bytes_sum(spark, sf_dir):
+    return rows.aggregate(scan_parse_events(spark, sf_dir), "bytes_sum:user_id")["bytes_sum:user_id"]
+
+
+@query("SELECT event_type, sum(user_id)::BIGINT AS total, arg_min(value, event_id) AS first_value FROM events GROUP BY event_type")
+def group_sum_first(spark, sf_dir):
+    return rows.sum_first(scan_parse_events(spark, sf_dir), ["event_type"], "user_id", "value", "event_id", ("total", "first_value"))
+
+
+@query("SELECT event_id, user_id, (SELECT sum(user_id)::BIGINT FROM events) AS total FROM events")
+def global_sum_broadcast(spark, sf_dir):
+    return rows.with_total(scan_parse_events(spark, sf_dir).select("event_id", "user_id"), "user_id", "total")
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def distinct_values(spark, sf_dir):
+    return rows.distinct_values(scan_parse_events(spark, sf_dir), "event_type")
+
+
+@query("SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS id, event_id FROM events")
+def row_index(spark, sf_dir):
+    return rows.row_index(scan_datetime_rfc3339(spark, sf_dir), ["ts", "event_id"]).select("id", "event_id")
+
+
+@query("SELECT event_id, value FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events) ORDER BY value DESC NULLS FIRST, event_id DESC LIMIT 150")
+def sort_desc_nulls_first(spark, sf_dir):
+    return rows.sort(aligned_ragged_null(spark, sf_dir), "value", "event_id", descending=True).limit(150)
+
+
+@query("SELECT event_type, event_id FROM events ORDER BY event_type NULLS FIRST, event_id LIMIT 40")
+def sort_multi_key(spark, sf_dir):
+    return rows.sort(scan_parse_events(spark, sf_dir), "event_type", "event_id").select("event_type", "event_id").limit(40)
+
+
+@query("SELECT event_id::VARCHAR AS event_id, event_type, NULL AS order_key FROM events WHERE event_id < 100 UNION ALL SELECT NULL, NULL, o_orderkey::VARCHAR FROM orders WHERE o_orderkey < 100")
+def union_keys_frame(spark, sf_dir):
+    last_key_wins(spark)
+    some = events(spark, sf_dir, "event_id", "event_type").where("value rlike '^event_id=[0-9]{1,2} '")
+    more = lines(table(spark, sf_dir, "orders").where("o_orderkey < 100").select(F.col("o_orderkey").alias("order_key")))
+    return rows.union_of_keys(some.union(more).select(parse_map(F.col("value")).alias("row")))
+
+
+@query("SELECT event_id, event_type, NULL AS user_id FROM events UNION ALL SELECT event_id, NULL, user_id FROM events")
+def vertical_stack(spark, sf_dir):
+    df = scan_parse_events(spark, sf_dir)
+    return rows.stack(df.select("event_id", "event_type"), df.select("event_id", "user_id"))
+
+
+# --- as-of joins ---
+
+
+def _errors(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    left = df.where("event_type <> 'error'").select("event_id", "ts", "user_id")
+    right = df.where("event_type = 'error'").groupBy("ts").agg(F.min("event_id").alias("error_id")).select("error_id", F.col("ts").alias("error_ts"))
+    return left, right
+
+
+_ERRORS = "l AS (SELECT event_id, ts, user_id FROM events WHERE event_type <> 'error'), r AS (SELECT min(event_id) AS error_id, ts AS error_ts FROM events WHERE event_type = 'error' GROUP BY ts)"
+
+
+@query(f"WITH {_ERRORS} SELECT l.*, r.error_id, r.error_ts FROM l ASOF LEFT JOIN r ON l.ts < r.error_ts")
+def asof_forward_strict(spark, sf_dir):
+    return asof_join(*_errors(spark, sf_dir), "ts", "error_ts", buckets=7)
+
+
+@query(f"WITH {_ERRORS} SELECT l.*, r.error_id, r.error_ts FROM l ASOF LEFT JOIN r ON l.ts <= r.error_ts")
+def asof_forward_eq(spark, sf_dir):
+    return asof_join(*_errors(spark, sf_dir), "ts", "error_ts", allow_equal=True)
+
+
+@query(f"WITH {_ERRORS} SELECT l.*, CASE WHEN date_diff('microsecond', r.error_ts, l.ts) <= 600000000 THEN r.error_id END AS error_id, CASE WHEN date_diff('microsecond', r.error_ts, l.ts) <= 600000000 THEN r.error_ts END AS error_ts FROM l ASOF LEFT JOIN r ON l.ts >= r.error_ts")
+def asof_backward_tolerance(spark, sf_dir):
+    return asof_join(*_errors(spark, sf_dir), "ts", "error_ts", direction="backward", allow_equal=True, tolerance=600_000_000, buckets=5)
+
+
+@query("""WITH l AS (SELECT event_id, ts, user_id FROM events WHERE event_type <> 'click'), r AS (SELECT user_id, ts AS click_ts, min(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT l.*, r.click_id, r.click_ts FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts < r.click_ts""")
+def asof_by_user(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    right = df.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
+    return asof_join(df.where("event_type <> 'click'").select("event_id", "ts", "user_id"), right, "ts", "click_ts", by=["user_id"], first_by=["click_id"], buckets=3)
+
+
+# --- flagship ---
+
+
+def run_lines(spark, sf_dir):
+    """A log of writes (from lineitem) and of finished runs (from orders)."""
+    at = lambda day, key: F.col(day) + F.make_dt_interval(secs=(F.col(key) * F.lit(1_000_001) / F.lit(1_000_000)).cast("decimal(18,6)"))
+    name = F.when(F.col("l_linenumber") == 7, F.lit("health_check")).otherwise(F.concat("l_returnflag", F.lit("_"), "l_linestatus"))
+    writes = table(spark, sf_dir, "lineitem").withColumn("at", at("l_shipdate", "l_orderkey")).select(rfc3339("at").alias("time"), F.lit("info").alias("level"), F.lit("finish to process/write ").alias("msg"), F.concat(F.lit("/data/out/"), name, F.lit("/part")).alias("new"), F.col("l_quantity").cast("bigint").alias("bytes"))
+    runs = table(spark, sf_dir, "orders").where("o_orderkey % 16 = 0").withColumn("at", at("o_orderdate", "o_orderkey")).select(rfc3339("at").alias("time"), F.lit("info").alias("level"), F.lit("run finished").alias("msg"), F.col("o_orderkey").alias("totals"))
+    return lines(writes).union(lines(runs))
+
+
+@query("""WITH r AS (
+  SELECT o_orderdate + to_microseconds(o_orderkey * 1000001) AS t, o_orderkey::VARCHAR AS totals FROM orders WHERE o_orderkey % 16 = 0),
+i AS (SELECT *, row_number() OVER (ORDER BY t, totals) - 1 AS finished_id FROM r),
+w AS (SELECT l_shipdate + to_microseconds(l_orderkey * 1000001) AS t, l_returnflag || '_' || l_linestatus AS table_name, l_quantity::BIGINT AS bytes FROM lineitem WHERE l_linenumber <> 7)
+SELECT w.table_name, i.finished_id, sum(w.bytes)::BIGINT AS bytes_sum, min(i.totals) AS first_totals FROM w ASOF LEFT JOIN i ON w.t < i.t GROUP BY w.table_name, i.finished_id""")
+def flagship(spark, sf_dir):
+    return bytes_per_run(run_lines(spark, sf_dir))
+
+
+# --- what the host engine brings along ---
+
+
+@query("SELECT r_name, count(*) AS n, sum(o_totalprice) > 0 AS some FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def host_joins(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    df = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return df.groupBy("r_name").agg(F.count("*").alias("n"), (F.sum("o_totalprice") > 0).alias("some"))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def host_semi_join(spark, sf_dir):
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def host_anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def host_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+@query("SELECT user_id, event_id, row_number() OVER w AS rn, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def host_windows(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).cast("bigint").alias("rn"), F.lag("event_id").over(w).alias("before"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+@query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
+def host_set_operations(spark, sf_dir):
+    k = lambda n, c: table(spark, sf_dir, n).select(F.col(c).alias("k"))
+    return k("customer", "c_nationkey").intersect(k("supplier", "s_nationkey")).union(k("nation", "n_nationkey").subtract(k("supplier", "s_nationkey")))
