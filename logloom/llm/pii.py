@@ -3,8 +3,8 @@
 Texts are cut into overlapping windows; both directions run over every window, overlapping scores are averaged, and one
 Viterbi decoding of the whole text reconciles the windows. A place where "outside" leads by more than any transitions could
 win back is outside on the best path, so that only the places between have to be decoded; the result is that of decoding all.
-The net is trained from labelled spans in made-up sentences (fixed seed), which hold the base kinds, their written-out,
-bracketed and national forms, and secrets (access keys, tokens, passwords), among numbers, dates, versions and codes that are none.
+The net is trained from labelled spans in made-up sentences (fixed seed), which hold the base kinds, their bracketed
+and national forms, and secrets (access keys, tokens, passwords), among numbers, dates, versions and codes that are none.
 
 Base spans stay as they are; a span of the net is added if it overlaps none of them. Null texts are empty and have no spans; repeated
 rows are read each for itself; an empty table gives no rows. redact() passes other columns through.
@@ -26,10 +26,12 @@ from .base import table
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = len(KINDS) + 1
 #: Characters a window adds, and those it shares with each neighbour.
-CORE, CONTEXT = 224, 16
+CORE, CONTEXT = 480, 16
 #: Windows that run together, and rows in one Arrow batch: bounds on a worker's memory.
-TOGETHER, ROWS = 2048, 250
-EMBED, HIDDEN, STEPS, BATCH, LENGTH, RATE = 12, 12, 1100, 48, 96, 0.012
+TOGETHER, ROWS = 1536, 250
+EMBED, HIDDEN, STEPS, BATCH, LENGTH, RATE = 10, 10, 900, 48, 96, 0.02
+#: Made-up texts that the fit goes through again and again.
+POOL = 200
 #: Shorter spans of the net are dropped.
 MIN_SPAN = 6
 
@@ -88,7 +90,13 @@ def example(rng: np.random.Generator, length: int) -> tuple[str, list[int]]:
     low, up, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
     def word() -> str:
-        w = some("eeetaoinshrdlucmfwypvbgkjqxz" + pick("", "éèàüöäßñóíçê"), rng.integers(1, 12))
+        r = rng.random()
+        if r < 0.4:
+            w = pick(*"the of and to in at on is it an be by for with as from that a dot com at la de que el en un los der die und zu les et est du me my go no or net org".split())
+        elif r < 0.75:  # syllables, now and then many
+            w = "".join(some("bcdfghklmnprstvwz", rng.integers(0, 3)) + some("aeiou" + pick("", "éèàüöäßñóíçê"), rng.integers(1, 3)) + some("nrstdl", rng.integers(0, 3)) for _ in range(rng.integers(1, pick(3, 5, 8))))
+        else:
+            w = some("eeetaoinshrdlucmfwypvbgkjqxz" + pick("", "éèàüöäßñóíçê"), rng.integers(1, 12))
         w = pick(w, w, w, w, w.capitalize(), w.upper())
         return w + pick("", "", "", "", "", "", ",", ".", ";", "!", "?", "!!", ":", "***", "%%%", "###", " |", "&&&", "$$$")
 
@@ -99,7 +107,7 @@ def example(rng: np.random.Generator, length: int) -> tuple[str, list[int]]:
         return dot.join([some(low, rng.integers(2, 10)) + pick("", "", digit(1)) for _ in range(rng.integers(1, 3))] + [pick("com", "org", "net", "de", "fr", "es", "io", "co", "edu", "info")])
 
     def email() -> str:
-        at, dot = pick(("@", "."), ("@", "."), (" at ", " dot "), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "), (" [at] ", "."), (" @ ", "."))
+        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."), (" @ ", "."))
         who = name()
         return (who if at == "@" else who.replace(".", pick(".", dot))) + at + domain(dot)
 
@@ -134,8 +142,8 @@ def example(rng: np.random.Generator, length: int) -> tuple[str, list[int]]:
     makers = (email, ip, card, phone, secret)
     while len(text) < length:
         r = rng.random()
-        kind = int(rng.integers(len(makers))) + 1 if r < 0.09 else 0
-        piece = makers[kind - 1]() if kind else other() if r < 0.2 else word()
+        kind = int(rng.integers(len(makers))) + 1 if r < 0.05 else 0
+        piece = makers[kind - 1]() if kind else other() if r < 0.13 else word()
         text, tags = text + piece, tags + [kind] * len(piece)
         gap = (pick(" ", ". ", ", ", "\n", ") ") if kind else pick(*" " * 12, "\n")) if rng.random() < 0.98 else "  "
         text, tags = text + gap, tags + [0] * len(gap)
@@ -204,7 +212,9 @@ class Net:
         grads[f"u{d}"] = hs[:-1].reshape(-1, HIDDEN).T @ flat
         grads[f"w{d}"] = x.reshape(-1, EMBED).T @ flat
         grads[f"b{d}"] = flat.sum(axis=0)
-        np.add.at(grads["e"], ids.ravel(), flat @ self.p[f"w{d}"].T)
+        per = flat @ self.p[f"w{d}"].T
+        for k in range(EMBED):
+            grads["e"][:, k] += np.bincount(ids.ravel(), per[:, k], minlength=VOCABULARY)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         """Negative log likelihood of the tags (time, batch) for each character, and its gradients."""
@@ -235,13 +245,15 @@ class Net:
         return float((z - gold).mean() / n), grads
 
     def fit(self, steps: int = STEPS, seed: int = 5) -> Net:
-        """Adam on made-up texts; each batch is cut from new ones at any place, so that windows begin and end within spans too."""
+        """Adam on made-up texts; a batch is cut from one at any place, so that windows begin and end within spans too."""
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x, np.float64) for k, x in self.p.items()} for _ in range(2))
+        pool = [example(rng, BATCH * LENGTH) for _ in range(min(steps, POOL))]
         for step in range(1, steps + 1):
-            text, tags = example(rng, BATCH * LENGTH)
-            ids = codes(text)[: BATCH * LENGTH].reshape(BATCH, LENGTH).T
-            _, grads = self.gradients(ids, np.array(tags[: BATCH * LENGTH]).reshape(BATCH, LENGTH).T)
+            text, tags = pool[step % len(pool)]
+            at = int(rng.integers(0, LENGTH))  # other cuts each time
+            cut = lambda x: np.concatenate([x[at:], x[:at]])[: BATCH * LENGTH].reshape(BATCH, LENGTH).T  # noqa: B023, E731
+            _, grads = self.gradients(cut(codes(text)), cut(np.array(tags)))
             norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
             rate = RATE * (1 - step / steps * 0.95)
             for k, g in grads.items():
@@ -252,10 +264,11 @@ class Net:
         return self
 
     def tables(self) -> dict:
-        """What reading needs: for each direction the gates' input for every character, halved for the sigmoids, so that one tanh serves all gates."""
-        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), HIDDEN)
-        out = {d: ((self.p["e"] @ self.p[f"w{d}"] + self.p[f"b{d}"]) * half, self.p[f"u{d}"] * half, self.p["v"][i * HIDDEN : (i + 1) * HIDDEN]) for i, d in enumerate("fb")}
-        return {k: tuple(np.ascontiguousarray(x, np.float32) for x in v) for k, v in out.items()} | {"c": self.p["c"], "t": self.p["t"].astype(np.float64)}
+        """What reading needs: for each direction and gate the input for every character, halved for the sigmoids, so that one tanh serves all gates."""
+        half = np.array([0.5, 0.5, 0.5, 1.0], np.float32)[:, None, None]
+        by_gate = lambda x: np.ascontiguousarray(x.reshape(-1, 4, HIDDEN).transpose(1, 0, 2) * half, np.float32)
+        out = {d: (by_gate(self.p["e"] @ self.p[f"w{d}"] + self.p[f"b{d}"]), by_gate(self.p[f"u{d}"]), self.p["v"][i * HIDDEN : (i + 1) * HIDDEN].copy()) for i, d in enumerate("fb")}
+        return out | {"c": self.p["c"], "t": self.p["t"].astype(np.float64)}
 
 
 @lru_cache(maxsize=1)
@@ -269,43 +282,68 @@ def scores(windows: np.ndarray, net: dict) -> np.ndarray:
     out = np.broadcast_to(net["c"], (n, batch, TAGS)).copy()
     for d in "fb":
         inputs, u, v = net[d]
-        h, c = np.zeros((2, batch, HIDDEN), np.float32)
-        z, zu, s = np.empty((batch, 4 * HIDDEN), np.float32), np.empty((batch, 4 * HIDDEN), np.float32), np.empty((batch, 3 * HIDDEN), np.float32)
-        g = np.empty((batch, HIDDEN), np.float32)
+        h, c, g = np.zeros((3, batch, HIDDEN), np.float32)
+        z, zu = np.empty((2, 4, batch, HIDDEN), np.float32)
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            np.take(inputs, windows[t], axis=0, out=z, mode="clip")
+            np.take(inputs, windows[t], axis=1, out=z, mode="clip")
             np.matmul(h, u, out=zu)
             z += zu
             np.tanh(z, out=z)
-            np.multiply(z[:, : 3 * HIDDEN], 0.5, out=s)
+            s = z[:3]
+            s *= 0.5
             s += 0.5
-            c *= s[:, HIDDEN : 2 * HIDDEN]
-            np.multiply(s[:, :HIDDEN], z[:, 3 * HIDDEN :], out=g)
+            c *= s[1]
+            np.multiply(s[0], z[3], out=g)
             c += g
             np.tanh(c, out=h)
-            h *= s[:, 2 * HIDDEN :]
+            h *= s[2]
             out[t] += h @ v
     return out
 
 
-def decode(e: np.ndarray, tr: np.ndarray) -> np.ndarray:
-    """The best path of one text; e: scores (characters, tags)."""
-    # Tag y instead of 0 at one place gains at most e[y] - e[0] + most, whatever its neighbours are.
-    most = (tr[:, None, :] - tr[:, :1, None].transpose(0, 2, 1)).max() + (tr - tr[0]).max()
-    tags = np.zeros(len(e), np.int8)
-    active = e[:, 1:].max(axis=1) + most >= e[:, 0]
-    edge = np.flatnonzero(np.diff(active, prepend=False, append=False))
-    for a, b in edge.reshape(-1, 2):
-        best = e[a].astype(np.float64) + (tr[0] if a else 0)
-        from_ = np.zeros((b - a, TAGS), np.int8)
-        for t in range(a + 1, b):
-            x = best[:, None] + tr
-            from_[t - a] = x.argmax(axis=0)
-            best = x.max(axis=0) + e[t]
-        k = int((best + (tr[:, 0] if b < len(e) else 0)).argmax())
-        for t in range(b - 1, a - 1, -1):
-            tags[t] = k
-            k = from_[t - a, k]
+def stretches(e: np.ndarray, tr: np.ndarray) -> np.ndarray:
+    """(first, end) of the places in a text that may have another tag than 0 on the best path; e: scores (characters, tags).
+
+    A stretch of other tags in place of 0 gains at most what they lead by there, with the best transitions inside, plus the best ones
+    at its ends. A place is 0 if no stretch around it can gain: its best sum is that to the highest sum ahead from the lowest behind.
+    """
+    stay, enter, leave = tr[1:, 1:].max() - tr[0, 0], tr[0, 1:].max() - tr[0, 0], tr[1:, 0].max() - tr[0, 0]
+    gain = e[:, 1:].max(axis=1).astype(np.float64) - e[:, 0] + stay
+    if len(gain):
+        gain[0] += max(0, -enter)
+        gain[-1] += max(0, -leave)
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+    return np.flatnonzero(np.diff(best - stay + enter + leave >= -1e-6, prepend=False, append=False)).reshape(-1, 2)
+
+
+def decode(scores_: list[np.ndarray], tr: np.ndarray) -> list[np.ndarray]:
+    """The best path of each text, from its scores (characters, tags). Stretches of all texts are decoded side by side, in order of length."""
+    tags = [np.zeros(len(e), np.int8) for e in scores_]
+    where = [(b - a, k, a, b) for k, e in enumerate(scores_) for a, b in stretches(e, tr).tolist()]
+    where.sort(reverse=True)
+    if not where:
+        return tags
+    n = np.array([w[0] for w in where])
+    start = np.concatenate([[0], np.cumsum(n)[:-1]])
+    e = np.concatenate([scores_[k][a:b] for _, k, a, b in where]).astype(np.float64)
+    e[start] += np.array([tr[0] if a else tr[0] * 0 for _, _, a, _ in where])
+    e[start + n - 1] += np.array([tr[:, 0] if b < len(scores_[k]) else tr[0] * 0 for _, k, _, b in where])
+    back = np.zeros((len(e), TAGS), np.int8)
+    best, still = e[start], len(n)
+    for t in range(1, n[0]):
+        still = int(np.searchsorted(-n, -t))  # stretches longer than t
+        x = best[:still, :, None] + tr
+        back[start[:still] + t] = x.argmax(axis=1)
+        best[:still] = x.max(axis=1) + e[start[:still] + t]
+    k, path = best.argmax(axis=1), np.zeros(len(e), np.int8)
+    for t in range(n[0]):
+        still = int(np.searchsorted(-n, -t))
+        at = start[:still] + n[:still] - 1 - t
+        path[at] = k[:still]
+        k[:still] = back[at, k[:still]]
+    for (_, text, a, b), s in zip(where, start, strict=True):
+        tags[text][a:b] = path[s : s + b - a]
     return tags
 
 
@@ -333,12 +371,10 @@ def read(texts: list[str], net: dict) -> Iterator[list[tuple[int, int, int]]]:
             c, first = total[owner[w]], max(0, cut[w] - CONTEXT)
             last = min(len(c), cut[w] + longest - CONTEXT)
             c[first:last] += e[CONTEXT - cut[w] + first : CONTEXT - cut[w] + last, b]
-    for k, c in enumerate(total):
-        n = len(c)
-        times = np.ones(n, np.float32)  # where two windows overlap, their scores are averaged
-        for start in range(CORE, n, CORE):
-            times[start - CONTEXT : min(n, start + CONTEXT)] = 2
-        tags = decode(c / times[:, None], net["t"])
+    for c in total:  # where two windows overlap, their scores are averaged
+        for start in range(CORE, len(c), CORE):
+            c[start - CONTEXT : start + CONTEXT] *= 0.5
+    for k, tags in enumerate(decode(total, net["t"])):
         edge = np.flatnonzero(np.diff(tags, prepend=0, append=0))
         found = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
@@ -350,11 +386,27 @@ def read(texts: list[str], net: dict) -> Iterator[list[tuple[int, int, int]]]:
         yield found
 
 
+#: What an address has at least, in any of its forms.
+_ADDRESS = re.compile(r"(?:@|[(\[]at[)\]])\s?[\w-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?)[\w-]+)+", re.I)
+
+
+def plausible(piece: str, kind: int) -> bool:
+    """Whether a span of the net holds what its kind cannot do without."""
+    digits = sum(c.isdigit() for c in piece)
+    if KINDS[kind] == "email":
+        return bool(_ADDRESS.search(piece))
+    if KINDS[kind] == "ip":
+        return digits >= 4 and (piece.count(".") == 3 or piece.count(":") >= 2)
+    if KINDS[kind] == "card":
+        return 12 <= digits <= 19 and luhn("".join(c for c in piece if c.isascii() and c.isdigit()))
+    return 7 <= digits <= 17 if KINDS[kind] == "phone" else digits > 0 or "=" in piece or ":" in piece
+
+
 def all_spans(texts: list[str], net: dict) -> Iterator[tuple[list, list]]:
-    """Base spans, and all spans: those of the net are added where they overlap no base span."""
+    """Base spans, and all spans: plausible ones of the net are added where they overlap no base span."""
     for text, more in zip(texts, read(texts, net), strict=True):
         base = base_spans(text)
-        free = [s for s in more if all(s[2] <= b[0] or b[2] <= s[0] for b in base)] if base else more
+        free = [s for s in more if plausible(text[s[0] : s[2]], s[1]) and all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
         yield base, sorted([*base, *free])
 
 
