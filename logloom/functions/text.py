@@ -21,6 +21,6 @@ def human_bytes(n: Column) -> Column:
     """Bytes for people: 1023 B, 1.00 KB, 1.50 MB; the sign stays."""
     size, out = F.abs(n).cast("double"), None
     for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
-        shown = F.format_string(f"%.2f {unit}", size / F.lit(float(1024**power)))
+        shown = F.format_string(f"%.2f {unit}", F.bround(size / F.lit(float(1024**power)), 2))
         out = F.when(size >= 1024**power, shown) if out is None else out.when(size >= 1024**power, shown)
     return F.when(n < 0, F.concat(F.lit("-"), out.otherwise(F.concat(F.abs(n).cast("string"), F.lit(" B"))))).otherwise(out.otherwise(F.concat(n.cast("string"), F.lit(" B"))))

@@ -74,15 +74,15 @@ def infer_type(v: Column) -> Column:
 
 def typed(v: Column, kind: str, fill: bool) -> Column:
     """A text as a value of a kind. Text that is none of the kind is 0, 0.0, false or a null time; missing text is null, or with fill the kind's default."""
-    value = {
-        "integer": lambda: F.coalesce(F.when(v.rlike(INTEGER), v.try_cast("bigint")), F.lit(0).cast("bigint")),
-        "float": lambda: F.coalesce(F.when(v.rlike(FLOAT), v.try_cast("double")), F.lit(0.0)),
-        "boolean": lambda: F.lower(v).isin(*TRUE),
-        "datetime": lambda: parse_rfc3339(v),
-        "duration": lambda: F.coalesce(parse_duration(v), F.lit(0).cast("bigint")),
-    }.get(kind, lambda: v)()
     missing = F.lit(DEFAULTS.get(kind) if fill else None).cast(SPARK_TYPES[kind])
-    return F.when(v.isNotNull(), value).otherwise(missing)
+    if kind in ("string", "auto"):
+        return F.coalesce(v, missing) if fill else v
+    if kind == "datetime":
+        return parse_rfc3339(v)
+    if kind == "boolean":
+        return F.coalesce(F.lower(v).isin(*TRUE), missing)
+    value = parse_duration(v) if kind == "duration" else F.when(v.rlike(INTEGER if kind == "integer" else FLOAT), v.try_cast(SPARK_TYPES[kind]))
+    return F.coalesce(value, F.when(v.isNotNull(), F.lit(DEFAULTS[kind]).cast(SPARK_TYPES[kind])), missing)
 
 
 def as_string(value: Column, kind: str) -> Column:

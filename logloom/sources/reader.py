@@ -40,7 +40,9 @@ def scan_lines(lines: DataFrame, options: ScanOptions | None = None, column: str
     if options.n_threads:
         rows = rows.coalesce(options.n_threads)
     rows = rows.select(raw_map(F.col(column)).alias("_raw"))
-    return rows.select(*(typed(unquote(F.col("_raw")[n], options.compat), schema[n], options.fill).alias(n) for n in schemas.in_order(schema)))
+    names = schemas.in_order(schema)
+    rows = rows.select(*(unquote(F.col("_raw")[n], options.compat).alias(n) for n in names))
+    return rows.select(*(typed(F.col(f"`{n}`"), schema[n], options.fill).alias(n) for n in names))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
