@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words of the white-space kind, as a pattern for Java and for Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,8 +66,30 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return big.join(F.broadcast(small) if written_bytes(small) <= limit else small, on, how)
 
 
-def arrow_rows(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def map_batches(df: DataFrame, schema: T.StructType | str, f: Callable[[pa.RecordBatch], dict], rows: int = ARROW_ROWS) -> DataFrame:
+    """Rows in Arrow batches: f gives the columns that are new or changed, as lists or arrays; all others pass in Arrow's own form, so ids and
+    columns of any type stay as they are. Under the key None, f may give which rows to keep."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types = {field.name: field.type for field in to_arrow_schema(schema)}
+    names = schema.names
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = f(batch)
+            columns = [new[n] if isinstance(new.get(n), pa.Array) else pa.array(new[n], types[n]) if n in new else batch.column(n) for n in names]
+            out = pa.RecordBatch.from_arrays(columns, names=names)
+            yield out.filter(pa.array(new[None], pa.bool_())) if None in new else out
+
+    return df.mapInArrow(apply, schema)
+
+
+def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
+    return batch.column(column).to_pylist()
+
+
+def kind(df: DataFrame, column: str = "doc_id") -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def fold(doc_id: str = "doc_id"):

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import LOWER_ALNUM, arrow_rows, table, utf8, words, written
+from .base import LOWER_ALNUM, map_batches, table, texts, utf8, words, written
 
 WINDOW = 13
 #: Characters of benchmark texts in one automaton (each lies in WINDOW patterns); a larger benchmark is scanned in blocks of this size, one after another.
@@ -108,7 +108,6 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str | None,
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, drop_text: bool = False) -> DataFrame:
     """docs with n_words, word_spans, char_spans (arrays of [start, end)) and items (distinct item_ids, sorted) beside its own columns; drop_text leaves out the text."""
-    arrow_rows(docs.sparkSession)
     span = "array<array<int>>"
     keep = [c for c in docs.columns if c not in ("n_words", "word_spans", "char_spans", "items")]
     out = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("word_spans"), F.array().cast(span).alias("char_spans"), F.array().cast("array<string>").alias("items"))
@@ -116,19 +115,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     for i, block in enumerate(blocks):
         schema = out.schema if i < len(blocks) - 1 or not drop_text else out.drop("text").schema
 
-        def apply(frames: Iterator[pd.DataFrame], block=block, names=schema.names) -> Iterator[pd.DataFrame]:
-            found = automaton(block, window)
-            for frame in frames:
-                rows = []
-                for text, spans, items in zip(frame["text"], frame["word_spans"], frame["items"], strict=True):
-                    n, more, owners = scan(text, found)
-                    spans = merged([*map(tuple, spans), *more])
-                    rows.append((n, [list(x) for x in spans], [list(x) for x in original(text, spans)], sorted({*items, *(x for x in owners if x is not None)})))
-                for k, name in enumerate(("n_words", "word_spans", "char_spans", "items")):
-                    frame[name] = pd.Series([r[k] for r in rows], index=frame.index, dtype="int64" if not k else "object")
-                yield frame[names]
-
-        out = out.mapInPandas(apply, schema)
+        def apply(batch: pa.RecordBatch, block=block) -> dict:
+            found, rows = automaton(block, window), []
+            for text, spans, items in zip(*(texts(batch, c) for c in ("text", "word_spans", "items")), strict=True):
+                n, more, owners = scan(text, found)
+                spans = merged([*map(tuple, spans), *more])
+                rows.append((n, spans, original(text, spans), sorted({*items, *(x for x in owners if x is not None)})))
+            return {name: [r[k] for r in rows] for k, name in enumerate(("n_words", "word_spans", "char_spans", "items"))}
+
+        out = map_batches(out, schema, apply)
         if i < len(blocks) - 1:
             out = written(out, "leaks")
     return out

@@ -15,11 +15,11 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import LOWER_ALNUM, arrow_rows, table, utf8, words
+from .base import LOWER_ALNUM, kind, map_batches, table, texts, utf8, words
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -125,10 +125,10 @@ class Automaton:
 
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES):
-        self.texts = [(label, words(t, LOWER_ALNUM)) for label, parts in templates.items() for t in parts]
-        self.automaton = Automaton([t for _, t in self.texts])
+        self.parts = [(label, words(t, LOWER_ALNUM)) for label, parts in templates.items() for t in parts]
+        self.automaton = Automaton([t for _, t in self.parts])
         self.phrases = [(tuple(words(p, LOWER_ALNUM)), label) for p, label in phrases.items()]
-        self.vocabulary = frozenset(w for _, t in self.texts for w in t) | frozenset(w for p, _ in self.phrases for w in p)
+        self.vocabulary = frozenset(w for _, t in self.parts for w in t) | frozenset(w for p, _ in self.phrases for w in p)
         self.runs = re.compile(b"\x01{%d,}" % min(MIN_MATCH, *(len(p) for p, _ in self.phrases)))
 
     def scan(self, text: str | None) -> dict:
@@ -146,7 +146,7 @@ class Scanner:
             for a, b, ends in self.automaton.stretches(w, run.start(), run.end(), MIN_MATCH):
                 for k, end in ends.items():
                     chain = chains.get(k)
-                    if chain and (a - chain[1] > MAX_GAP or end < chain[2]):
+                    if chain and (a - chain[1] > MAX_GAP or end <= chain[2]):
                         self._close(k, chains.pop(k), found)
                         chain = None
                     if chain is None:
@@ -160,7 +160,7 @@ class Scanner:
         return {"n_words": len(w), "places": sorted(places), "found": found}
 
     def _close(self, k: int, chain: list, found: dict) -> None:
-        label, template = self.texts[k]
+        label, template = self.parts[k]
         share = min(1.0, chain[3] / len(template))
         if share >= ENOUGH_SHARE or chain[3] >= ENOUGH_WORDS:
             old = found.get(label, (0.0, []))
@@ -184,23 +184,21 @@ _scanner: list[Scanner] = []
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, places, base_labels, matches (label, share, spans in code points) for every row of docs (doc_id, text)."""
-    arrow_rows(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, places array<bigint>, base_labels array<string>, matches array<struct<label:string,share:double,spans:array<array<int>>>>"
+    schema = f"doc_id {kind(docs)}, n_words bigint, places array<bigint>, base_labels array<string>, matches array<struct<label:string,share:double,spans:array<array<int>>>>"
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batch: pa.RecordBatch) -> dict:
         if not _scanner:
             _scanner.append(Scanner())
-        for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                s = _scanner[0].scan(text)
-                matches = [{"label": k, "share": share, "spans": [list(x) for x in spans(text, ranges)]} for k, (share, ranges) in sorted(s["found"].items())]
-                rows.append((doc, s["n_words"], [i for i, _ in s["places"]], sorted({x for _, x in s["places"]}), matches))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "places", "base_labels", "matches"])
-            yield out.assign(doc_id=frame["doc_id"].to_numpy())
-
-    return docs.select("doc_id", "text").mapInPandas(apply, schema)
+        out: dict = {"n_words": [], "places": [], "base_labels": [], "matches": []}
+        for text in texts(batch):
+            s = _scanner[0].scan(text)
+            out["n_words"].append(s["n_words"])
+            out["places"].append([i for i, _ in s["places"]])
+            out["base_labels"].append(sorted({x for _, x in s["places"]}))
+            out["matches"].append([{"label": k, "share": share, "spans": spans(text, ranges)} for k, (share, ranges) in sorted(s["found"].items())])
+        return out
+
+    return map_batches(docs.select("doc_id", "text"), schema, apply)
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,9 +85,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeat: int =
 
 def training_order(docs: DataFrame, carry: tuple[str, ...] = ("text",)) -> DataFrame:
     """A row for each copy that the mix takes, sorted by position: position, copy (from 0), doc_id, source, size and the columns to carry."""
-    taken = mix(docs, carry=carry, sort=False).select("doc_id", "source", "size", *carry, F.posexplode("positions").alias("copy", "position"))
-    out = taken.select("position", "copy", "doc_id", "source", "size", *carry)
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    own = docs.select("doc_id", "source", "text", *(F.col(f"`{c}`").alias(f"_own_{c}") for c in carry))
+    taken = mix(own, carry=tuple(f"_own_{c}" for c in carry), sort=False)
+    taken = taken.select("doc_id", "source", "size", *(f"`_own_{c}`" for c in carry), F.posexplode("positions").alias("copy", "position"))
+    out = taken.select("position", "copy", "doc_id", "source", "size", *(F.col(f"`_own_{c}`").alias(c) for c in carry))
+    return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "copy")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

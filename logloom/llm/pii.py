@@ -17,11 +17,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import map_batches, table, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = len(KINDS) + 1
@@ -347,10 +347,10 @@ def decode(scores_: list[np.ndarray], tr: np.ndarray) -> list[np.ndarray]:
     return tags
 
 
-def read(texts: list[str], net: dict) -> Iterator[list[tuple[int, int, int]]]:
+def read(some: list[str], net: dict) -> Iterator[list[tuple[int, int, int]]]:
     """(start, kind, end) of what the net finds, for each text. A window has CONTEXT characters more on both sides than it adds."""
     wide = CORE + 2 * CONTEXT
-    every = [codes(t) for t in texts]
+    every = [codes(t) for t in some]
     cut, owner = [], []
     for k, c in enumerate(every):
         for start in range(0, len(c), CORE):
@@ -359,15 +359,15 @@ def read(texts: list[str], net: dict) -> Iterator[list[tuple[int, int, int]]]:
     total = [np.zeros((len(c), TAGS), np.float32) for c in every]
     order = sorted(range(len(cut)), key=lambda w: len(every[owner[w]]) - cut[w])
     for i in range(0, len(order), TOGETHER):
-        some = order[i : i + TOGETHER]
-        longest = min(wide, max(len(every[owner[w]]) - cut[w] for w in some) + CONTEXT)
-        ids = np.zeros((longest, len(some)), np.uint8)
-        for b, w in enumerate(some):
+        now = order[i : i + TOGETHER]
+        longest = min(wide, max(len(every[owner[w]]) - cut[w] for w in now) + CONTEXT)
+        ids = np.zeros((longest, len(now)), np.uint8)
+        for b, w in enumerate(now):
             part = every[owner[w]][max(0, cut[w] - CONTEXT) : cut[w] + longest - CONTEXT]
             at = max(0, CONTEXT - cut[w])
             ids[at : at + len(part), b] = part
         e = scores(ids, net)
-        for b, w in enumerate(some):
+        for b, w in enumerate(now):
             c, first = total[owner[w]], max(0, cut[w] - CONTEXT)
             last = min(len(c), cut[w] + longest - CONTEXT)
             c[first:last] += e[CONTEXT - cut[w] + first : CONTEXT - cut[w] + last, b]
@@ -379,7 +379,7 @@ def read(texts: list[str], net: dict) -> Iterator[list[tuple[int, int, int]]]:
         found = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if tags[a]:
-                piece = texts[k][a:b]
+                piece = some[k][a:b]
                 a, b = a + len(piece) - len(piece.lstrip(" \n.,;:!?")), b - (len(piece) - len(piece.rstrip(" \n.,;:!?")))
                 if b - a >= MIN_SPAN:
                     found.append((int(a), int(tags[a]) - 1, int(b)))
@@ -402,9 +402,9 @@ def plausible(piece: str, kind: int) -> bool:
     return 7 <= digits <= 17 if KINDS[kind] == "phone" else digits > 0 or "=" in piece or ":" in piece
 
 
-def all_spans(texts: list[str], net: dict) -> Iterator[tuple[list, list]]:
+def all_spans(some: list[str], net: dict) -> Iterator[tuple[list, list]]:
     """Base spans, and all spans: plausible ones of the net are added where they overlap no base span."""
-    for text, more in zip(texts, read(texts, net), strict=True):
+    for text, more in zip(some, read(some, net), strict=True):
         base = base_spans(text)
         free = [s for s in more if plausible(text[s[0] : s[2]], s[1]) and all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
         yield base, sorted([*base, *free])
@@ -412,36 +412,28 @@ def all_spans(texts: list[str], net: dict) -> Iterator[tuple[list, list]]:
 
 def find(docs: DataFrame, net: dict | None = None) -> DataFrame:
     """docs with base and spans (arrays of kind, start, end in code points) beside its own columns. The net's size is fixed, whatever the input."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    held = spark.sparkContext.broadcast(net or trained())
-    rows = docs.select(*(c for c in docs.columns if c not in ("base", "spans")))
-    kind = "array<struct<kind:string,start:int,end:int>>"
-    schema = rows.select("*", F.lit(None).cast(kind).alias("base"), F.lit(None).cast(kind).alias("spans")).schema
+    held = docs.sparkSession.sparkContext.broadcast(net or trained())
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans")))
+    span = "array<struct<kind:string,start:int,end:int>>"
+    schema = rows.select("*", F.lit(None).cast(span).alias("base"), F.lit(None).cast(span).alias("spans")).schema
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = list(all_spans([t or "" for t in frame["text"]], held.value))
-            for i, name in enumerate(("base", "spans")):
-                frame[name] = pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in f[i]] for f in found], index=frame.index, dtype=object)
-            yield frame
+    def apply(batch: pa.RecordBatch) -> dict:
+        found = list(all_spans([t or "" for t in texts(batch)], held.value))
+        return {name: [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in f[i]] for f in found] for i, name in enumerate(("base", "spans"))}
 
-    return rows.mapInPandas(apply, schema)
+    return map_batches(rows, schema, apply, ROWS)
 
 
 def redact(docs: DataFrame, net: dict | None = None) -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets; overlapping spans are replaced as one, by the first kind."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    held = spark.sparkContext.broadcast(net or trained())
+    held = docs.sparkSession.sparkContext.broadcast(net or trained())
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = all_spans([t or "" for t in frame["text"]], held.value)
-            frame["text"] = [None if t is None else replaced(t, spans) for t, (_, spans) in zip(frame["text"], found, strict=True)]
-            yield frame
+    def apply(batch: pa.RecordBatch) -> dict:
+        own = texts(batch)
+        found = all_spans([t or "" for t in own], held.value)
+        return {"text": [None if t is None else replaced(t, spans) for t, (_, spans) in zip(own, found, strict=True)]}
 
-    return docs.mapInPandas(apply, docs.schema)
+    return map_batches(docs, docs.schema, apply, ROWS)
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_rows, join_small, table, utf8, written
+from .base import join_small, kind, map_batches, table, texts, utf8, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -83,24 +84,22 @@ def counts(text: str | None) -> tuple[int, ...]:
     return (len(words), len(data.translate(None, _CONTINUATION + _SPACE)), without(SYMBOLS), len(lines) - len(set(lines)), repeated(words), without(_UPPER), without(_MARKS), len(lines))
 
 
-def measure(texts) -> tuple[np.ndarray, np.ndarray]:
+def measure(batch) -> tuple[np.ndarray, np.ndarray]:
     """counts() of each text, and vectors of: log word length, and square roots of the shares of symbols, repeated lines, repeated words, capitals and marks."""
-    c = np.array([counts(t) for t in texts], np.int64).reshape(-1, 8)
+    c = np.array([counts(t) for t in batch], np.int64).reshape(-1, 8)
     some = np.maximum(c, 1).astype(float)
     return c, np.stack([np.log(some[:, 1] / some[:, 0]), *(np.sqrt(c[:, a] / some[:, b]) for a, b in ((2, 1), (3, 7), (4, 0), (5, 1), (6, 1)))], axis=1)
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs' doc_id, lang, source with COUNTS and the vector x."""
-    arrow_rows(docs.sparkSession)
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            c, x = measure(frame.pop("text"))
-            yield frame.assign(**{k: c[:, i] for i, k in enumerate(COUNTS)}, x=list(x))
+    def apply(batch: pa.RecordBatch) -> dict:
+        c, x = measure(texts(batch))
+        return {k: c[:, i] for i, k in enumerate(COUNTS)} | {"x": x.tolist()}
 
     rows = docs.select("doc_id", "lang", "source", "text")
-    return rows.mapInPandas(apply, rows.drop("text").schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {k} bigint" for k in COUNTS) + ", x array<double>")
+    return map_batches(rows, ", ".join(f"{c} {kind(docs, c)}" for c in ("doc_id", "lang", "source")) + "".join(f", {k} bigint" for k in COUNTS) + ", x array<double>", apply)
 
 
 def base_failed() -> Column:
@@ -178,19 +177,18 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 def keep(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns. Texts are measured again where they lie instead of being joined to verdicts."""
     model = fitted(docs)[1].select(F.col("l").alias("_l"), F.col("s").alias("_s"), F.col("mean").alias("_mean"), F.col("precision").alias("_precision"))
-    names, schema = docs.columns, docs.schema
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            c, x = measure(frame["text"])
-            ok = (c[:, 0] >= MIN_WORDS) & (100 * c[:, 4] <= MAX_REPEAT_PERCENT * c[:, 0])
-            for i, (mean, precision) in enumerate(zip(frame["_mean"], frame["_precision"], strict=True)):
-                if ok[i] and mean is not None:
-                    z = x[i] - np.asarray(mean)
-                    ok[i] = z @ np.asarray(precision).reshape(DIM, DIM) @ z <= cutoff
-            yield frame.loc[ok, names]
-
-    return join_small(docs.withColumns({"_l": _named("lang"), "_s": _named("source")}), model, ["_l", "_s"]).drop("_l", "_s").mapInPandas(apply, schema)
+    def apply(batch: pa.RecordBatch) -> dict:
+        c, x = measure(texts(batch))
+        ok = (c[:, 0] >= MIN_WORDS) & (100 * c[:, 4] <= MAX_REPEAT_PERCENT * c[:, 0])
+        for i, (mean, precision) in enumerate(zip(texts(batch, "_mean"), texts(batch, "_precision"), strict=True)):
+            if ok[i] and mean is not None:
+                z = x[i] - np.array(mean)
+                ok[i] = z @ np.array(precision).reshape(DIM, DIM) @ z <= cutoff
+        return {None: ok}
+
+    rows = join_small(docs.withColumns({"_l": _named("lang"), "_s": _named("source")}), model, ["_l", "_s"])
+    return map_batches(rows.select(*(F.col(f"`{c}`") for c in docs.columns), "_mean", "_precision"), docs.schema, apply)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

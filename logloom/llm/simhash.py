@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import arrow_rows, table, utf8, written
+from .base import kind, map_batches, table, texts, utf8, written
 
 SEED, SHINGLE, MAX_BITS, BYTES = 42, 3, 3, 8
 #: Bytes in which two fingerprints within MAX_BITS agree at least.
@@ -53,16 +53,9 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and fp (the fingerprint's bits as a bigint) for every row."""
-    arrow_rows(docs.sparkSession)
-
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fp = np.array([fingerprint(t) for t in frame["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "fp": fp})
-
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(apply, f"doc_id {kind}, text_hash bigint, fp bigint")
+    apply = lambda batch: {"fp": np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)}
+    return map_batches(rows, f"doc_id {kind(docs)}, text_hash bigint, fp bigint", apply)
 
 
 def posting_keys(fp: Column) -> Column:

@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import arrow_rows, fold, labelled_sample, table, utf8
+from .base import fold, kind, labelled_sample, map_batches, table, texts, utf8
 
 BITS, DIM, EPOCHS, RATE = 18, 8, 6, 0.4
 THRESHOLD = 0.5
@@ -71,7 +71,7 @@ def pieces(text: str | None, size: int = PIECE) -> Iterator[bytes]:
     yield data[start:]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
+def train(sample: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
     """One number for each feature, and the bias."""
     y = np.array(labels)
     share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
@@ -81,7 +81,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     if len(set(labels)) < 2:
         return np.zeros(1 << BITS, np.float32), float(bias[1])
     bags = []
-    for text in texts:
+    for text in sample:
         ids, n = np.unique(np.concatenate([features(p) for p in pieces(text)]), return_counts=True)
         bags.append((ids, (n / (n.sum() + PRIOR)).astype(np.float32)))
     w = np.zeros((2, DIM), np.float32)
@@ -113,16 +113,13 @@ def logit(text: str | None, values: np.ndarray, bias: float) -> float:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id and score for every row of docs (doc_id, text). The model is one number for each of 2 ** BITS features, whatever the input."""
-    arrow_rows(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values, bias = held.value
-        for frame in frames:
-            z = np.array([logit(t, values, bias) for t in frame["text"]])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -50, 50)))})
+    def apply(batch: pa.RecordBatch) -> dict:
+        z = np.array([logit(t, *held.value) for t in texts(batch)])
+        return {"score": 1 / (1 + np.exp(-np.clip(z, -50, 50)))}
 
-    return docs.select("doc_id", "text").mapInPandas(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind(docs)}, score double", apply)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,12 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import BROADCAST_BYTES, arrow_rows, join_small, table, utf8, written
+from .base import BROADCAST_BYTES, join_small, kind, map_batches, table, texts, utf8, written
 
 #: Share of a host's pages that a class of the template is on, and of a container's text that may be fixed in a slot.
 SUPPORT, FIXED_SHARE, MIN_PAGES = 0.5, 0.5, 3
@@ -124,13 +124,14 @@ def host_of(url: str = "url"):
 
 def tokens(pages: DataFrame) -> DataFrame:
     """host, path, text (hash of a block, null for an element) -> pages, vector and chars; the path of a page itself is empty."""
-    arrow_rows(pages.sparkSession)
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = (("host", pa.string()), ("path", pa.string()), ("text", pa.int64()))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
-        for frame in frames:
+        for batch in batches:
             seen: dict[tuple, list[int]] = {}
-            for host, url, page, number in zip(frame["host"], frame["url"], frame["html"], frame["page_id"], strict=True):
+            for host, url, page, number in zip(*(texts(batch, c) for c in ("host", "url", "html", "page_id")), strict=True):
                 blocks, paths = parse(page)
                 own: dict[tuple, list[int]] = {(host, path, None): [n, 0] for path, n in paths.items()}
                 own[host, "", None] = [1, 0]
@@ -144,10 +145,10 @@ def tokens(pages: DataFrame) -> DataFrame:
                     x[0] += 1
                     x[1] ^= digest(f"{number}|{url}|{n}".encode("utf-8", "surrogatepass"))
                     x[2] += chars
-            yield pd.DataFrame({**{c: pd.Series([k[i] for k in seen], dtype=t) for i, (c, t) in enumerate((("host", object), ("path", object), ("text", "Int64")))}, **{c: pd.Series([v[i] for v in seen.values()], dtype="int64") for i, c in enumerate(("pages", "vector", "chars"))}})
+            yield pa.RecordBatch.from_pydict({c: pa.array([k[i] for k in seen], t) for i, (c, t) in enumerate(types)} | {c: pa.array([v[i] for v in seen.values()], pa.int64()) for i, c in enumerate(("pages", "vector", "chars"))})
 
     rows = pages.select("page_id", "url", "html", host_of().alias("host"))
-    rows = rows.mapInPandas(apply, "host string, path string, text bigint, pages bigint, vector bigint, chars bigint")
+    rows = rows.mapInArrow(apply, "host string, path string, text bigint, pages bigint, vector bigint, chars bigint")
     return rows.groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
 
 
@@ -181,16 +182,10 @@ def text_of(page: str | None, slots: frozenset[str]) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, slots for every row of pages (page_id, url, html)."""
-    arrow_rows(pages.sparkSession)
     rows = join_small(pages.select("page_id", "url", "html", host_of().alias("host")), slots(pages), ["host"], limit=BROADCAST_BYTES)
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["text"] = [text_of(page, frozenset(() if s is None else s)) for page, s in zip(frame["html"], frame["slots"], strict=True)]
-            yield frame[["page_id", "url", "text", "slots"]]
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "slots").mapInPandas(apply, f"page_id {kind}, url string, text string, slots array<string>")
+    apply = lambda batch: {"text": [text_of(page, frozenset(s or ())) for page, s in zip(texts(batch, "html"), texts(batch, "slots"), strict=True)]}
+    return map_batches(rows.select("page_id", "url", "html", "slots"), f"page_id {kind(pages, 'page_id')}, url string, text string, slots array<string>", apply)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

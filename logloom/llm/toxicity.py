@@ -19,11 +19,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import arrow_rows, fold, labelled_sample, table
+from .base import fold, kind, labelled_sample, map_batches, table, texts
 
 DECAY, SPAN, LANDMARKS, THRESHOLD = 0.6, 5, 128, 0.7
 #: Two gaps for each span: offsets of a subsequence's second and third character.
@@ -140,10 +140,10 @@ def varied(term: str, rng: np.random.Generator) -> list[str]:
     return [put(i, chr(rng.integers(97, 123))) for i in at[:INSERTED]] + [put(i, term[i - 1]) for i in at[INSERTED:]]
 
 
-def examples(texts: list[str], labels: list[int]) -> tuple[dict[str, int], list[str]]:
+def examples(sample: list[str], labels: list[int]) -> tuple[dict[str, int], list[str]]:
     """Toxic terms with the number of distinct toxic sentences that have them, and the terms of the other sentences."""
     sentence: dict[str, int] = {}
-    for text, y in zip(texts, labels, strict=True):
+    for text, y in zip(sample, labels, strict=True):
         for s in re.split(r"[.!?\n]+", text.lower()):
             if s := s.strip():
                 sentence[s] = min(sentence.get(s, 1), y)
@@ -157,14 +157,14 @@ def examples(texts: list[str], labels: list[int]) -> tuple[dict[str, int], list[
     return toxic, sorted(t for t, n in seen.items() if n[0] and t not in toxic)
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: int = 1) -> dict:
+def train(sample: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: int = 1) -> dict:
     """weights and bias of the machine over terms, and the two numbers that turn a text's largest value into a probability."""
     share = float(np.mean(labels)) if labels else 0.0
     none = {"weights": np.zeros(SYMBOLS**3, np.float32), "bias": FLOOR, "scale": (float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 0.0)}
     if len(set(labels)) < 2:
         return none
     rng = np.random.default_rng(seed)
-    toxic, clean = examples(texts, labels)
+    toxic, clean = examples(sample, labels)
     if not toxic or not clean:
         return none
     plus = sorted(toxic, key=lambda t: (-toxic[t], t))[: landmarks // 2]
@@ -188,7 +188,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed:
         hard = np.concatenate([values(clean[i : i + 20_000], weights, b) for i in range(0, len(clean), 20_000)])
         known = set(minus)
         minus += [clean[i] for i in np.argsort(-hard)[:400] if clean[i] not in known and hard[i] > -1]
-    x = np.column_stack([np.ones(len(texts)), np.clip(list(largest(texts, model, {})), *LIMITS)])
+    x = np.column_stack([np.ones(len(sample)), np.clip(list(largest(sample, model, {})), *LIMITS)])
     y, at = np.array(labels, float), np.zeros(2)
     for _ in range(30):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
@@ -216,11 +216,11 @@ def remember(tokens: set[str], model: dict, known: dict[str, float]) -> None:
         known[t] = max((next(v) for _ in name), default=FLOOR)
 
 
-def largest(texts, model: dict, known: dict[str, float], together: int = 64) -> Iterator[float]:
+def largest(some_texts, model: dict, known: dict[str, float], together: int = 64) -> Iterator[float]:
     """The largest value of each text's distinct tokens, and MORE of the next two if they speak for toxicity; known remembers those of tokens."""
-    texts = list(texts)
-    for i in range(0, len(texts), together):
-        sets = [tokens_of(t) for t in texts[i : i + together]]
+    some_texts = list(some_texts)
+    for i in range(0, len(some_texts), together):
+        sets = [tokens_of(t) for t in some_texts[i : i + together]]
         remember(set().union(*sets), model, known)
         for tokens in sets:
             some = sorted((x for x in map(known.__getitem__, tokens) if x > 0), reverse=True)
@@ -229,17 +229,15 @@ def largest(texts, model: dict, known: dict[str, float], together: int = 64) ->
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score for every row of docs (doc_id, text). The model has SYMBOLS ** 3 weights, whatever the input."""
-    arrow_rows(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    known: dict[str, float] = {}  # each task's own, once it has arrived there
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = {}
-        for frame in frames:
-            top = np.clip(np.fromiter(largest(frame["text"], held.value, known), float), *LIMITS)
-            a, b = held.value["scale"]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": 1 / (1 + np.exp(-np.clip(a + b * top, -50, 50)))})
+    def apply(batch: pa.RecordBatch) -> dict:
+        top = np.clip(np.fromiter(largest(texts(batch), held.value, known), float), *LIMITS)
+        a, b = held.value["scale"]
+        return {"score": 1 / (1 + np.exp(-np.clip(a + b * top, -50, 50)))}
 
-    return docs.select("doc_id", "text").mapInPandas(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind(docs)}, score double", apply)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
