@@ -55,8 +55,8 @@ def format_duration(micros: Column) -> Column:
     for unit, size in (("years", 31_557_600_000_000), ("months", 2_630_016_000_000), ("days", 86_400_000_000), ("h", 3_600_000_000), ("m", 60_000_000), ("s", 1_000_000), ("ms", 1000), ("us", 1)):
         n = F.floor(rest / size).cast("bigint")
         name = F.when(n == 1, F.lit(unit[:-1])).otherwise(F.lit(unit)) if unit in ("years", "months", "days") else F.lit(unit)
-        parts.append(F.when(n > 0, F.concat(n.cast("string"), name)))
-        rest = rest - n * size
+        parts.append(F.when(rest >= size, F.concat(n.cast("string"), name)))
+        rest = rest % size
     return F.when(micros == 0, F.lit("0s")).otherwise(F.concat_ws(" ", *parts))
 
 

@@ -26,7 +26,7 @@ def asof_join(
     """All left rows, with the columns of the nearest right row later (forward), earlier (backward) or either (nearest; forward on ties).
 
     Of right rows of one time, the one that is first by first_by counts. tolerance is in microseconds for times. Left rows without a match, and those
-    of null time, get nulls. Only distinct times are compared, so that a time which many rows share costs no more than another: they are dealt to
+    of null time, get nulls; null keys are equal. Only distinct times are compared, so that a time which many rows share costs no more than another: they are dealt to
     buckets of time, each sorted by a task of its own; a bucket that holds no answer gets it from a table with one row for each bucket.
     """
     if direction == "nearest":

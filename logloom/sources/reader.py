@@ -41,7 +41,8 @@ def scan_lines(lines: DataFrame, options: ScanOptions | None = None, column: str
         rows = rows.coalesce(options.n_threads)
     rows = rows.select(raw_map(F.col(column)).alias("_raw"))
     names = schemas.in_order(schema)
-    rows = rows.select(*(unquote(F.col("_raw")[n], options.compat).alias(n) for n in names))
+    rows = rows.select(*(F.try_element_at("_raw", F.lit(n)).alias(n) for n in names))
+    rows = rows.select(*(unquote(F.col(f"`{n}`"), options.compat).alias(n) for n in names))
     return rows.select(*(typed(F.col(f"`{n}`"), schema[n], options.fill).alias(n) for n in names))
 
 
