@@ -130,7 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a < b").distinct(), "star")
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # its size is then known, and a hub's links can be split
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").where("a > m").select("m", F.col("a").alias("b")).union(least.select("m", "b"))

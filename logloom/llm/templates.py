@@ -43,20 +43,23 @@ _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcapti
 _MAIN = frozenset(("article", "main"))
 #: Elements whose text is no article.
 _OUT = frozenset("head nav footer aside form button select option menu dialog object".split())
-_OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disclaimer|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+_OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disclaimer|footer|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: The same, but for what stands in a main element, where it holds the title.
+_HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 #: What an opening tag ends if it is still open (up to the nearest other block).
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 @lru_cache(maxsize=4096)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's name in paths, whether it is out by role, and whether it is a main element."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """An element's name in paths, whether it is out by role, whether it is a header, and whether it is a main element."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = re.sub(r"\d+", "0", found.get("class", ""))
     role = found.get("role", "").lower()
-    out = tag in _OUT or role in _OUT_ROLES or bool(_OUT_NAMES.search(f"{found.get('class', '')} {found.get('id', '')}")) and tag not in ("html", "body", *_MAIN)
-    return tag + "".join(f".{n}" for n in sorted(names.split())), out, tag in _MAIN or role == "main"
+    called = "" if tag in ("html", "body", *_MAIN) else f"{found.get('class', '')} {found.get('id', '')}"
+    out = tag in _OUT or role in _OUT_ROLES or bool(_OUT_NAMES.search(called))
+    return tag + "".join(f".{n}" for n in sorted(names.split())), out, tag == "header" or bool(_HEADER_NAMES.search(called)), tag in _MAIN or role == "main"
 
 
 def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], dict[str, int]]:
@@ -108,10 +111,10 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], dict[str
         elif tag in _ENDS:
             while stack[-1][0] in _ENDS[tag]:
                 close(len(stack) - 1)
-        name, out, main = _element(tag, m[4])
+        name, out, header, main = _element(tag, m[4])
         _, above, container, was_out, was_main = stack[-1]
         path = f"{above}/{name}"
-        out = was_out or out or tag == "header" and not was_main
+        out = was_out or out or header and not was_main
         stack.append((tag, path, container if tag in _LEAF else path, out, was_main or main))
         paths[path] = paths.get(path, 0) + 1
     end()

@@ -78,7 +78,7 @@ def test_html_equals_plain_extraction(spark, sf_dir):
 
 
 def test_html_roles_and_edges(spark):
-    body = """<header>Site</header><nav>Menu</nav><main><h1>Title &amp; more</h1><!-- x --><p>One<br>two &lt;b&gt;<p>Three <a href="y">four</a><script>var x="</p>";</script><ul><li>i<li>j</ul>
+    body = """<header>Site</header><nav>Menu</nav><div id="site-header">Logo</div><main><div class="entry-header"><h1>Title &amp; more</h1></div><!-- x --><p>One<br>two &lt;b&gt;<p>Three <a href="y">four</a><script>var x="</p>";</script><ul><li>i<li>j</ul>
       <form>Search</form><div class="comments"><p>Reader says</p></div><aside>Also</aside><table><tr><td>c1<td>c2</table></main><div id="cookie-notice">Accept</div><footer>End</footer>"""
     rows = [(1, "http://x/1", body), (2, None, None), (3, "", ""), (None, "http://y", "plain text, no tags"), (3, "", ""), (5, "http://z/", "<p>open <b>bold"), (6, "http://z/", "<<< > <a <p>x</p")]
     got = [tuple(r) for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).select("page_id", "text").collect()]
