@@ -197,7 +197,7 @@ def zst_scan(spark, sf_dir):
     path = f"{shared(spark, 'zst')}.log.zst"
     system, name = fs.FileSystem.from_uri(path)
     system.create_dir(name.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(name) as out:
+    with system.open_output_stream(name, compression=None) as out:
         seekzst.write(text.encode(), out, 40)
     register(spark)
     return spark.read.format("logfmt").load(path)

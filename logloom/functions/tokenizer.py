@@ -31,6 +31,11 @@ def unquote(raw: Column, compat: bool = True) -> Column:
     return F.when(~F.startswith(raw, F.lit('"')), raw).otherwise(F.coalesce(inner, F.substr(raw, F.lit(2))))
 
 
+def unescaped(value: Column) -> Column:
+    """A value with what backslashes protect in place of the backslashes, as older readers of the format give it."""
+    return F.regexp_replace(value, r"(?s)\\(.)", "$1")
+
+
 def raw_map(line: Column) -> Column:
     """Keys to raw values of a line without its newline. Needs last_key_wins()."""
     ended = F.concat(line, F.lit("\n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,12 @@ from pyspark.sql import types as T
 PER_BUCKET = 100_000
 
 
+def next_index(times: Sequence, at) -> int | None:
+    """For a sorted list in memory: the index of the first time that is not before `at`."""
+    i = bisect_left(times, at)
+    return i if i < len(times) else None
+
+
 def _number(df: DataFrame, name: str) -> Column:
     """A time or number as a number: times in microseconds."""
     kind = df.schema[name].dataType

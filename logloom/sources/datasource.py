@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,8 +23,10 @@ from ..plans import schema as schemas
 from . import seekzst
 from .paths import Bytes, lines_of, ssh_stream
 
-#: Decompressed bytes of the frames that one task reads.
-SPLIT_BYTES = 32 << 20
+#: Bytes that one task reads (of zstd files, decompressed): a sixteenth of the file, within these bounds.
+LEAST_SPLIT, MOST_SPLIT = 512 << 10, 32 << 20
+#: Lines in one Arrow batch.
+BATCH_LINES = 10_000
 
 
 class Part(InputPartition):
@@ -31,33 +34,60 @@ class Part(InputPartition):
         self.kind, self.frames, self.start, self.length = kind, list(frames), start, length
 
 
-def parts(path: str, cmd: str | None = None, split: int = SPLIT_BYTES) -> list[Part]:
+def parts(path: str, cmd: str | None = None, split: int | None = None) -> list[Part]:
     if cmd:
         return [Part("command")]
     read = Bytes(path)
     size = read.size()
+    share = lambda total: split or min(MOST_SPLIT, max(LEAST_SPLIT, total // 16))
     if path.endswith(".zst"):
         listed = seekzst.frames(read, size)
-        if listed is None or len(listed) > 1 and not seekzst.read_frame(read, listed[0]).endswith(b"\n"):
+        if not listed:
             return [Part("stream")]
         groups: list[list] = []
+        most = share(listed[-1].start + listed[-1].length)
         for f in listed:
-            if not groups or sum(x.length for x in groups[-1]) >= split:
+            if not groups or sum(x.length for x in groups[-1]) >= most:
                 groups.append([])
             groups[-1].append(f)
-        return [Part("frames", g) for g in groups]
-    return [Part("plain", start=a, length=n) for a, n in seekzst.plan(size, read, chunk=split)]
+        # a line that goes on in the next task's frame would be cut: then one task reads all
+        whole = seekzst.ends_with_lines(read, [g[-1] for g in groups])
+        return [Part("frames", g) for g in groups] if whole else [Part("stream")]
+    return [Part("plain", start=a, length=n) for a, n in seekzst.plan(size, read, chunk=share(size))]
 
 
-def read_lines(path: str, part: Part, cmd: str | None = None) -> Iterator[str]:
+def pieces_of(path: str, part: Part, cmd: str | None = None) -> Iterator[bytes]:
     read = Bytes(path)
     if part.kind == "command":
-        return lines_of(ssh_stream(path, cmd))
+        return ssh_stream(path, cmd)
     if part.kind == "stream":
-        return lines_of(seekzst.whole(read, read.size()))
+        return seekzst.whole(read, read.size())
     if part.kind == "frames":
-        return lines_of(seekzst.read_frame(read, f) for f in part.frames)
-    return lines_of(read(a, min(1 << 20, part.start + part.length - a)) for a in range(part.start, part.start + part.length, 1 << 20))
+        return (seekzst.read_frame(read, f) for f in part.frames)
+    return (read(a, min(1 << 20, part.start + part.length - a)) for a in range(part.start, part.start + part.length, 1 << 20))
+
+
+def read_lines(path: str, part: Part, cmd: str | None = None) -> Iterator[str]:
+    return lines_of(pieces_of(path, part, cmd))
+
+
+def line_batches(pieces: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Lines without their newlines, in Arrow batches."""
+    rest, held = b"", []
+    for piece in pieces:
+        *whole, rest = (rest + piece).split(b"\n")
+        held += whole
+        while len(held) >= BATCH_LINES:
+            yield _batch(held[:BATCH_LINES])
+            held = held[BATCH_LINES:]
+    if rest:
+        held.append(rest)
+    if held:
+        yield _batch(held)
+
+
+def _batch(lines: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())], names=["value"])
 
 
 class LogSource(DataSource):
@@ -93,12 +123,11 @@ class LogReaderTask(DataSourceReader):
     def partitions(self) -> list[Part]:
         return parts(self.path, self.options.cmd)
 
-    def read(self, part: Part) -> Iterator[tuple]:
-        lines = read_lines(self.path, part, self.options.cmd)
+    def read(self, part: Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         if self.raw:
-            yield from ((x.removesuffix("\n"),) for x in lines)
+            yield from line_batches(pieces_of(self.path, part, self.options.cmd))
             return
-        for line in accepted(lines, self.options):
+        for line in accepted(read_lines(self.path, part, self.options.cmd), self.options):
             row = dict(pairs(line, self.options.compat))
             yield tuple(values.py_typed(row.get(n), k, self.options.fill) for n, k in self.columns)
 

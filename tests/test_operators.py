@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logloom import catalogue
 from logloom.functions.text import between, extract, human_bytes
 from logloom.operators import filters, rows
-from logloom.operators.asof import asof_join
+from logloom.operators.asof import asof_join, next_index
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
@@ -93,3 +93,7 @@ def test_asof_equals_brute_force(spark, direction, allow_equal, by):
         return a[1] if a and (not b or a[0] <= b[0]) else b and b[1]
 
     assert {x["i"]: x["j"] for x in got.collect()} == {i: one(k, t) for i, k, t in left}
+
+
+def test_next_index():
+    assert [next_index([0, 60], t) for t in (0, 30, 60, 120)] == [0, 1, 1, None]

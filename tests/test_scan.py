@@ -165,7 +165,7 @@ class Texts(UnitSource):
 @pytest.mark.parametrize("known", [True, False])
 @pytest.mark.parametrize("options", [ScanOptions(), ScanOptions(aligned_cols_cnt=True), ScanOptions(line_filter="info")])
 def test_units_equal_text(spark, known, options):
-    import cloudpickle
+    from pyspark import cloudpickle
     import sys
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])

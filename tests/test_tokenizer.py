@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logloom.functions import values
-from logloom.functions.tokenizer import last_key_wins, pairs, parse_map, parse_pairs, render
+from logloom.functions.tokenizer import last_key_wins, pairs, parse_map, parse_pairs, render, unescaped
 
 VECTORS = [
     ("level=info msg=hello code=200", [("level", "info"), ("msg", "hello"), ("code", "200")]),
@@ -41,6 +41,7 @@ def test_vectors(spark):
 def test_without_compat(spark):
     df = spark.createDataFrame([('a="" b="x"',)], "line string")
     assert df.select(parse_map(F.col("line"), compat=False).alias("m")).first()["m"] == {"a": "", "b": "x"}
+    assert spark.createDataFrame([('a \\"b\\" \\\\',)], "v string").select(unescaped(F.col("v"))).first()[0] == 'a "b" \\'
     assert dict(pairs('a="" b="x"\n', compat=False)) == {"a": "", "b": "x"}
 
 
