@@ -37,9 +37,14 @@ def unescaped(value: Column) -> Column:
 
 
 def raw_map(line: Column) -> Column:
-    """Keys to raw values of a line without its newline. Needs last_key_wins()."""
+    """Keys to raw values of a line without its newline (and an empty key for what is no pair). Needs last_key_wins().
+
+    One pass of the pattern writes the pairs with marks between, which split into a map; lines that hold such marks themselves take two passes.
+    """
     ended = F.concat(line, F.lit("\n"))
-    return F.map_from_arrays(F.regexp_extract_all(ended, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(ended, F.lit(PAIR), F.lit(2)))
+    marked = F.regexp_replace(ended, F.lit(f"(?s){_W}*+(?:{PAIR.removeprefix('(?s)')})|{_W}++"), F.lit("$1\x01$2\x02"))
+    pairs_ = F.map_from_arrays(F.regexp_extract_all(ended, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(ended, F.lit(PAIR), F.lit(2)))
+    return F.when(line.rlike("[\x01\x02]"), pairs_).otherwise(F.str_to_map(marked, F.lit("\x02"), F.lit("\x01")))
 
 
 def parse_map(line: Column, compat: bool = True) -> Column:

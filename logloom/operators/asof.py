@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.sinks import staged
+
 #: Distinct times in one bucket of time, on average.
 PER_BUCKET = 100_000
 
@@ -46,6 +48,7 @@ def asof_join(
     lefts = left.where(F.col(f"`{left_on}`").isNotNull()).select(*by, (_number(left, left_on) * sign).alias("_t")).distinct()
     # equal times: a right row that may match stands after the left row, one that may not before it
     both = lefts.withColumns({"_r": F.lit(None).cast(rights.schema["_r"].dataType), "_s": F.lit(0 if allow_equal else 1)}).unionByName(rights.withColumn("_s", F.lit(1 if allow_equal else 0)))
+    both = staged(both, "asof")
     low, high, n = both.agg(F.min("_t"), F.max("_t"), F.count("*")).first()
     buckets = buckets or max(1, -(-(n or 0) // PER_BUCKET))
     width = ((high - low) / buckets or 1) if n else 1

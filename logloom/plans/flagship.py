@@ -10,6 +10,7 @@ from ..operators.asof import asof_join
 from ..operators.rows import row_index, sum_first
 from ..options import ScanOptions
 from ..sources.reader import scan_lines
+from ..sources.sinks import staged
 
 WRITES = ScanOptions(line_filter='msg="finish to process/write "', schema={"time": "datetime", "new": "string", "bytes": "integer"})
 RUNS = ScanOptions(line_filter='msg="run finished"', schema={"time": "datetime", "totals": "string"})
@@ -19,5 +20,5 @@ def bytes_per_run(lines: DataFrame) -> DataFrame:
     """table_name, finished_id, bytes_sum, first_totals from lines of writes and of finished runs: each write belongs to the next run that finishes after it."""
     runs = row_index(scan_lines(lines, RUNS), ["time", "totals"], "finished_id").select("finished_id", F.col("time").alias("finished_at"), "totals")
     writes = scan_lines(lines, WRITES).where(~F.contains("new", F.lit("health_check"))).select("time", "bytes", extract(F.col("new"), "/out/([^/]+)/").alias("table_name"))
-    joined = asof_join(writes, runs, "time", "finished_at")
+    joined = asof_join(staged(writes, "writes"), runs, "time", "finished_at")
     return sum_first(joined, ["table_name", "finished_id"], "bytes", "totals", "finished_at", ("bytes_sum", "first_totals"))

@@ -24,6 +24,11 @@ def accept(options: ScanOptions, column: str = "value") -> Column | None:
     return F.contains(line, F.lit(options.line_filter)) if isinstance(options.line_filter, str) else options.line_filter(F.col(column))
 
 
+def once(value: Column) -> Column:
+    """The same value, computed where it stands: Catalyst neither moves a filter below it nor repeats it in one, as it would with the tokenizer's regular expressions."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def scan_lines(lines: DataFrame, options: ScanOptions | None = None, column: str = "value") -> DataFrame:
     """Typed rows of a column of lines.
 
@@ -33,13 +38,13 @@ def scan_lines(lines: DataFrame, options: ScanOptions | None = None, column: str
     options = options or ScanOptions()
     last_key_wins(lines.sparkSession)
     schema = options.schema or schemas.infer(lines, 1 if options.aligned_cols_cnt and options.infer_schema_length is None else options.infer_schema_length, accept(options, column), options.compat, column)
-    rows = lines.where(F.col(column).rlike(r"[^ \t\n\x0B\f\r]"))
+    rows = lines.select(once(F.col(column)).alias(column)).where(F.col(column).rlike(r"[^ \t\n\x0B\f\r]"))
     rows = rows if options.line_filter is None else rows.where(accept(options, column))
     if options.row_filter is not None:
         rows = rows.where(options.row_filter(parse_map(F.col(column), options.compat)))
     if options.n_threads:
         rows = rows.coalesce(options.n_threads)
-    rows = rows.select(raw_map(F.col(column)).alias("_raw"))
+    rows = rows.select(once(raw_map(F.col(column))).alias("_raw"))
     names = schemas.in_order(schema)
     rows = rows.select(*(F.try_element_at("_raw", F.lit(n)).alias(n) for n in names))
     rows = rows.select(*(unquote(F.col(f"`{n}`"), options.compat).alias(n) for n in names))

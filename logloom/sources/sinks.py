@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.tokenizer import render
 
@@ -24,3 +26,16 @@ def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """key=value lines of all columns."""
     df.select(render(df.columns).alias("value")).write.mode(mode).text(path)
     return path
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, as spark.checkpoint.dir names it; unset (as in tests): on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getuid()}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once and read again, for what is used more than once: they are not computed again, and a lost executor costs nothing."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

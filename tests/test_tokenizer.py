@@ -46,10 +46,12 @@ def test_without_compat(spark):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.text(alphabet='ab=" \\\t\f\r1é', max_size=24), min_size=300, max_size=400))
+@given(st.lists(st.text(alphabet='ab=" \\\t\f\r1é\x01', max_size=24), min_size=300, max_size=400))
 def test_expressions_equal_the_state_machine(spark, lines):
+    last_key_wins(spark)
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
-    for r in df.select("i", "line", parse_pairs(F.col("line")).alias("p")).collect():
+    for r in df.select("i", "line", parse_pairs(F.col("line")).alias("p"), parse_map(F.col("line")).alias("m")).collect():
+        assert r["m"] == dict(pairs(r["line"] + "\n")), repr(r["line"])
         assert [(p["k"], p["v"]) for p in r["p"]] == list(pairs(r["line"] + "\n")), repr(r["line"])
 
 
