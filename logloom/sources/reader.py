@@ -12,7 +12,7 @@ from ..functions.tokenizer import last_key_wins, parse_map, raw_map, unquote
 from ..functions.values import typed
 from ..options import ScanOptions
 from ..plans import schema as schemas
-from .datasource import register
+from .datasource import kinds_of, register
 from .units import UnitSource, unit_lines
 
 
@@ -62,9 +62,11 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 def scan_log(spark: SparkSession, source: str, options: ScanOptions | None = None) -> DataFrame:
     """Typed rows of a file: local or in any store that Spark reads, over ssh, plain or zstd."""
     options = options or ScanOptions()
+    if options.cmd and not source.startswith("ssh://"):
+        raise ValueError(f"cmd needs an ssh:// source, not {source}")
+    if (source.endswith(".zst") or source.startswith("ssh://")) and not options.schema and not callable(options.line_filter):
+        options = options.but(schema=kinds_of(source, options))  # the first lines are read here, without a job
     if options.cmd:
-        if not source.startswith("ssh://"):
-            raise ValueError(f"cmd needs an ssh:// source, not {source}")
         register(spark)
         lines = spark.read.format("logfmt").option("raw", "true").option("options", ScanOptions(cmd=options.cmd).to_json()).load(source)
     else:
