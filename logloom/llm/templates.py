@@ -5,7 +5,8 @@ its host is kept as the XOR of one hash for each page and count, next to the num
 meet in a partial aggregate. Tokens of one vector form a class; a class on SUPPORT of the host's pages or more with at least
 two tokens is valid. Nested by their paths, valid classes make the template: their text blocks are fixed, and a container
 whose text is mostly not fixed is a slot. What the slots hold, less menus, adverts and the like by role, is the text; among slots
-of a main element (article, main) and others the main ones are taken, and nothing in a main element counts as fixed. A page
+of a main element (article, main) and others the main ones are taken, and nothing in a main element counts as fixed. A main
+element that is no slot, as where few pages of a host have one, is taken besides the slots. A page
 whose template has no slot on it (a host of one page, say) falls back on roles alone.
 
 Null and empty pages have the empty text; a null url is a host of its own; repeated rows are pages of their own, which share
@@ -178,8 +179,10 @@ def slots(pages: DataFrame) -> DataFrame:
 def text_of(page: str | None, slots: frozenset[str]) -> str:
     blocks = [b for b in parse(page)[0] if not b[1]]
     held = [b for b in blocks if b[0] in slots]
-    if any(b[2] for b in blocks) and (not held or any(b[2] for b in held)):
+    if any(b[2] for b in held) or not held and any(b[2] for b in blocks):
         held = [b for b in blocks if b[2]]
+    else:  # a main element that is no slot, as on a minority of pages, loses nothing to slots elsewhere
+        held = [b for b in blocks if b[2] or b[0] in slots]
     return "\n".join(b[3] for b in held or blocks)
 
 

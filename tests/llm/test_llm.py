@@ -69,6 +69,18 @@ def test_templates_find_slots(spark):
     assert templates.classes(found).where("text IS NOT NULL").count() == 2  # what all pages share: the greeting and the notice
 
 
+def test_main_elements_of_a_minority_of_pages(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(20):
+        intro, body = made(rng, 5), [made(rng, 20) for _ in range(2)]
+        article = f"<article class='post kind-{rng.choice('abc')}'><h1>H{i}</h1><p>{body[0]}</p><p>{body[1]}</p></article>" if i < 6 else ""
+        rows.append((i, f"https://a.example/{i}", f"<html><body><nav>Menu</nav><div class='top'>Welcome to the site</div><div class='intro'><p>{intro}</p></div>{article}</body></html>"))
+        want[i] = "\n".join([intro, *([f"H{i}", *body] if i < 6 else [])])
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_html_equals_plain_extraction(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in templates.op1_html_extraction(spark, sf_dir).collect():
