@@ -3,8 +3,9 @@
 Tokens are element paths (tag and class names) and text blocks at their path. A token's occurrence vector over the pages of
 its host is kept as the XOR of one hash for each page and count, next to the number of pages, so that vectors of any length
 meet in a partial aggregate. Tokens of one vector form a class; a class on SUPPORT of the host's pages or more with at least
-two tokens is valid. Nested by their paths, valid classes make the template: their text blocks are fixed, and a container
-whose text is mostly not fixed is a slot. What the slots hold, less menus, adverts and the like by role, is the text; among slots
+two tokens is valid. Nested by their paths, valid classes make the template: their text blocks are fixed. Text belongs to the
+nearest container of the template around it, and a container whose text is mostly not fixed is a slot. What the slots hold at
+any depth, less the fixed blocks of other containers in them, less menus, adverts and the like by role, is the text; among slots
 of a main element (article, main) and others the main ones are taken, and nothing in a main element counts as fixed. A main
 element that is no slot, as where few pages of a host have one, is taken besides the slots. A page
 whose template has no slot on it (a host of one page, say) falls back on roles alone.
@@ -38,6 +39,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+_MAIN_PATH = r"/(article|main)(\.|/|$)"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption".split())
@@ -56,11 +58,11 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     """An element's name in paths, whether it is out by role, whether it is a header, and whether it is a main element."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    names = re.sub(r"\d+", "0", found.get("class", ""))
+    names = re.sub(r"\d+", "0", found.get("class", "")).replace("/", "|")
     role = found.get("role", "").lower()
     called = "" if tag in ("html", "body", *_MAIN) else f"{found.get('class', '')} {found.get('id', '')}"
     out = tag in _OUT or role in _OUT_ROLES or bool(_OUT_NAMES.search(called))
-    return tag + "".join(f".{n}" for n in sorted(names.split())), out, tag == "header" or bool(_HEADER_NAMES.search(called)), tag in _MAIN or role == "main"
+    return ("main" if role == "main" else tag) + "".join(f".{n}" for n in sorted(names.split())), out, tag == "header" or bool(_HEADER_NAMES.search(called)), tag in _MAIN or role == "main"
 
 
 def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], dict[str, int]]:
@@ -122,6 +124,11 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], dict[str
     return blocks, paths
 
 
+def token(container: str, text: str) -> int:
+    """A text block at its path."""
+    return xxhash.xxh64_intdigest(utf8(f"{container}\0{text}")) - (1 << 63)
+
+
 def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -141,7 +148,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                 own[host, "", None] = [1, 0]
                 for container, out, main, text in blocks:
                     if not out:
-                        x = own.setdefault((host, container, digest(utf8(text))), [0, 0])
+                        x = own.setdefault((host, container, token(container, text)), [0, 0])
                         x[0] += 1
                         x[1] += len(text)
                 for key, (n, chars) in own.items():
@@ -164,25 +171,43 @@ def classes(found: DataFrame) -> DataFrame:
     return join_small(often, sizes, ["host", "vector", "pages"], "inner")
 
 
+def nearest(paths: DataFrame, elements: DataFrame) -> DataFrame:
+    """host, path -> container: the longest path of elements around a path or the path itself; that of the page if there is none."""
+    parts = F.split("path", "/")
+    around = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.xxhash64(F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    around = paths.select("host", "path", F.posexplode(around).alias("depth", "key"))
+    named = written(elements.select("host", F.xxhash64("path").alias("key"), F.col("path").alias("container")), "elements")
+    held = join_small(around, named, ["host", "key"]).where("container IS NOT NULL OR depth = 0")
+    return held.groupBy("host", "path").agg(F.max_by(F.coalesce("container", F.lit("")), "depth").alias("container"))
+
+
 def slots(pages: DataFrame) -> DataFrame:
-    """host -> slots: the container paths of its template whose text varies. At most a page's number of containers / SUPPORT for a host."""
+    """host -> slots: the container paths of its template whose text varies; fixed: the template's text blocks in other containers.
+    At most a page's number of containers and blocks / SUPPORT for a host."""
     found = written(tokens(pages), "tokens")
     valid = written(classes(found).where("class_size > 1"), "template")
-    fixed = valid.where("text IS NOT NULL").groupBy("host", "path").agg(F.sum("chars").alias("fixed"))
+    blocks = valid.where("text IS NOT NULL")
     total = found.where("text IS NOT NULL").groupBy("host", "path").agg(F.sum("chars").alias("total"))
-    containers = valid.where("text IS NULL AND path <> ''").select("host", "path").join(total, ["host", "path"]).join(fixed, ["host", "path"], "left")
-    main = F.col("path").rlike(r"/(article|main)(\.|/|$)")
-    varies = main | (F.coalesce("fixed", F.lit(0)) < F.col("total") * FIXED_SHARE)
-    return written(containers.where(varies).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("slots")), "slots")
-
-
-def text_of(page: str | None, slots: frozenset[str]) -> str:
+    total = total.join(blocks.groupBy("host", "path").agg(F.sum("chars").alias("fixed")), ["host", "path"], "left")
+    total = written(total, "totals")
+    held = written(nearest(total.select("host", "path"), valid.where("text IS NULL")), "held")
+    containers = total.join(held, ["host", "path"]).groupBy("host", "container").agg(F.sum("total").alias("total"), F.coalesce(F.sum("fixed"), F.lit(0)).alias("fixed"))
+    varies = F.col("container").rlike(_MAIN_PATH) | (F.col("fixed") < F.col("total") * FIXED_SHARE)
+    containers = written(containers.select("host", "container", varies.alias("slot")), "containers")
+    known = join_small(join_small(blocks.select("host", "path", "text"), held, ["host", "path"], "inner"), containers, ["host", "container"], "inner")
+    rows = containers.where("slot").select("host", F.col("container").alias("slot"), F.lit(None).cast("bigint").alias("fixed"))
+    rows = rows.union(known.where("NOT slot").select("host", F.lit(None), "text"))
+    return written(rows.groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("slots"), F.collect_set("fixed").alias("fixed")), "slots")
+
+
+def text_of(page: str | None, slots: frozenset[str], fixed: frozenset[int] = frozenset()) -> str:
     blocks = [b for b in parse(page)[0] if not b[1]]
-    held = [b for b in blocks if b[0] in slots]
-    if any(b[2] for b in held) or not held and any(b[2] for b in blocks):
+    below = tuple(f"{s}/" for s in slots)
+    main = tuple(f"{s}/" for s in slots if re.search(_MAIN_PATH, s))
+    if any(b[2] and f"{b[0]}/".startswith(main) for b in blocks):
         held = [b for b in blocks if b[2]]
     else:  # a main element that is no slot, as on a minority of pages, loses nothing to slots elsewhere
-        held = [b for b in blocks if b[2] or b[0] in slots]
+        held = [b for b in blocks if (b[2] or f"{b[0]}/".startswith(below)) and (not fixed or token(b[0], b[3]) not in fixed)]
     return "\n".join(b[3] for b in held or blocks)
 
 
@@ -190,8 +215,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, slots for every row of pages (page_id, url, html)."""
     rows = join_small(pages.select("page_id", "url", "html", host_of().alias("host")), slots(pages), ["host"], limit=BROADCAST_BYTES)
 
-    apply = lambda batch: {"text": [text_of(page, frozenset(s or ())) for page, s in zip(texts(batch, "html"), texts(batch, "slots"), strict=True)]}
-    return map_batches(rows.select("page_id", "url", "html", "slots"), f"page_id {kind(pages, 'page_id')}, url string, text string, slots array<string>", apply)
+    apply = lambda batch: {"text": [text_of(page, *(frozenset(x or ()) for x in known)) for page, *known in zip(*(texts(batch, c) for c in ("html", "slots", "fixed")), strict=True)]}
+    return map_batches(rows.drop("host"), f"page_id {kind(pages, 'page_id')}, url string, text string, slots array<string>", apply)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

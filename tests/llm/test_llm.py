@@ -81,6 +81,21 @@ def test_main_elements_of_a_minority_of_pages(spark):
     assert got == want
 
 
+def test_lists_tables_and_sections_in_slots(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(20):
+        text, parts = [made(rng, 6) for _ in range(9)], []
+        parts += [f"<ul>{''.join(f'<li>{t}</li>' for t in text[:2])}</ul>"] * (i % 4)  # as often as not the same
+        parts += [f"<table><tr><td>{text[2]}</td></tr></table>"] * (i % 3 == 0)
+        parts += [f"<section><h2>{text[3]}</h2><p>{text[4]}</p></section>"] * (i % 5 == 0)
+        wrapped = f"<div class='wrap'><section class='part'><p>{text[5]}</p></section></div>" if i % 2 else f"<div class='wrap'><figure><p>{text[5]}</p></figure><ol><li>{text[8]}</li></ol></div>"
+        rows.append((i, f"https://a.example/{i}", f"<html><body><div class='top'>Welcome to the site</div><div class='content'><p>{text[6]}</p>{''.join(parts)}<div class='note'><p>Read with care</p></div></div>{wrapped}<div class='by'>{text[7]}</div><div class='legal'>All of it is ours</div></body></html>"))
+        want[i] = "\n".join([text[6], *text[:2] * (i % 4), *[text[2]] * (i % 3 == 0), *text[3:5] * (i % 5 == 0), text[5], *[text[8]] * (i % 2 == 0), text[7]])
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_html_equals_plain_extraction(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in templates.op1_html_extraction(spark, sf_dir).collect():
