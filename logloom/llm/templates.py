@@ -5,8 +5,9 @@ its host is kept as the XOR of one hash for each page and count, next to the num
 meet in a partial aggregate. Tokens of one vector form a class; a class on SUPPORT of the host's pages or more with at least
 two tokens is valid. Nested by their paths, valid classes make the template: their text blocks are fixed. Text belongs to the
 nearest container of the template around it, and a container whose text is mostly not fixed is a slot. What the slots hold at
-any depth, less the fixed blocks of other containers in them, less menus, adverts and the like by role, is the text; among slots
-of a main element (article, main) and others the main ones are taken, and nothing in a main element counts as fixed. A main
+any depth, less the fixed blocks in them, less menus, adverts and the like by role, is the text; among slots
+of a main element (article, main) and others the main ones are taken. Fixed blocks that make up FIXED_SHARE of what a page's slots or main elements hold stay: they are
+an article that most pages repeat, rather than a notice in it. A main
 element that is no slot, as where few pages of a host have one, is taken besides the slots. A page
 whose template has no slot on it (a host of one page, say) falls back on roles alone.
 
@@ -182,7 +183,7 @@ def nearest(paths: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def slots(pages: DataFrame) -> DataFrame:
-    """host -> slots: the container paths of its template whose text varies; fixed: the template's text blocks in other containers.
+    """host -> slots: the container paths of its template whose text varies; inside and fixed: the template's text blocks in slots and in other containers.
     At most a page's number of containers and blocks / SUPPORT for a host."""
     found = written(tokens(pages), "tokens")
     valid = written(classes(found).where("class_size > 1"), "template")
@@ -195,19 +196,24 @@ def slots(pages: DataFrame) -> DataFrame:
     varies = F.col("container").rlike(_MAIN_PATH) | (F.col("fixed") < F.col("total") * FIXED_SHARE)
     containers = written(containers.select("host", "container", varies.alias("slot")), "containers")
     known = join_small(join_small(blocks.select("host", "path", "text"), held, ["host", "path"], "inner"), containers, ["host", "container"], "inner")
-    rows = containers.where("slot").select("host", F.col("container").alias("slot"), F.lit(None).cast("bigint").alias("fixed"))
-    rows = rows.union(known.where("NOT slot").select("host", F.lit(None), "text"))
-    return written(rows.groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("slots"), F.collect_set("fixed").alias("fixed")), "slots")
+    rows = containers.where("slot").select("host", F.col("container").alias("held"), F.lit(None).cast("bigint").alias("text"), "slot")
+    rows = rows.union(known.select("host", F.lit(None), "text", "slot"))
+    one = lambda slot: F.collect_set(F.when(F.col("slot") == slot, F.col("text")))
+    return written(rows.groupBy("host").agg(F.sort_array(F.collect_set("held")).alias("slots"), one(True).alias("inside"), one(False).alias("fixed")), "slots")
 
 
-def text_of(page: str | None, slots: frozenset[str], fixed: frozenset[int] = frozenset()) -> str:
+def text_of(page: str | None, slots: frozenset[str], inside: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset()) -> str:
     blocks = [b for b in parse(page)[0] if not b[1]]
     below = tuple(f"{s}/" for s in slots)
     main = tuple(f"{s}/" for s in slots if re.search(_MAIN_PATH, s))
     if any(b[2] and f"{b[0]}/".startswith(main) for b in blocks):
-        held = [b for b in blocks if b[2]]
+        held, inside = [b for b in blocks if b[2]], inside | fixed
     else:  # a main element that is no slot, as on a minority of pages, loses nothing to slots elsewhere
         held = [b for b in blocks if (b[2] or f"{b[0]}/".startswith(below)) and (not fixed or token(b[0], b[3]) not in fixed)]
+    if inside:
+        varying = [b for b in held if token(b[0], b[3]) not in inside]
+        if sum(len(b[3]) for b in varying) > (1 - FIXED_SHARE) * sum(len(b[3]) for b in held):
+            held = varying
     return "\n".join(b[3] for b in held or blocks)
 
 
@@ -215,7 +221,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, slots for every row of pages (page_id, url, html)."""
     rows = join_small(pages.select("page_id", "url", "html", host_of().alias("host")), slots(pages), ["host"], limit=BROADCAST_BYTES)
 
-    apply = lambda batch: {"text": [text_of(page, *(frozenset(x or ()) for x in known)) for page, *known in zip(*(texts(batch, c) for c in ("html", "slots", "fixed")), strict=True)]}
+    apply = lambda batch: {"text": [text_of(page, *(frozenset(x or ()) for x in known)) for page, *known in zip(*(texts(batch, c) for c in ("html", "slots", "inside", "fixed")), strict=True)]}
     return map_batches(rows.drop("host"), f"page_id {kind(pages, 'page_id')}, url string, text string, slots array<string>", apply)
 
 

@@ -96,6 +96,21 @@ def test_lists_tables_and_sections_in_slots(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("around", ["article", "div class='content'"])
+def test_fixed_blocks_in_articles_are_taken_out(spark, around):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for i in range(12):
+        text, notice = [made(rng, 20) for _ in range(2)], "<p>Write to us for more</p><div class='letter'><p>Our letter is free</p></div>"
+        rows.append((i, f"https://a.example/{i}", f"<html><body><div class='top'>Welcome</div><{around}><h1>H{i}</h1><p>{text[0]}</p>{notice}<p>{text[1]}</p></{around.split()[0]}></body></html>"))
+        want[i] = "\n".join([f"H{i}", *text])
+    copied = made(rng, 30)  # a host that has one article under many addresses keeps it
+    rows += [(i, f"https://b.example/{i}", f"<html><body><article><h1>Same</h1><p>{copied}</p><p>read {i} times</p></article></body></html>") for i in range(20, 24)]
+    want |= {i: f"Same\n{copied}\nread {i} times" for i in range(20, 24)}
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_html_equals_plain_extraction(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in templates.op1_html_extraction(spark, sf_dir).collect():
