@@ -120,6 +120,15 @@ def duration_format(spark, sf_dir):
     return df.select("event_id", format_duration(F.col("event_id") * 1_000_000).alias("words"))
 
 
+@query("""WITH a AS (SELECT event_id, event_id * 86461 AS s FROM events),
+b AS (SELECT event_id, s, s // 31557600 AS years, s % 31557600 // 2630016 AS months, s % 31557600 % 2630016 // 86400 AS days, s % 31557600 % 2630016 % 86400 AS t FROM a)
+SELECT event_id, CASE WHEN s = 0 THEN '0s' ELSE concat_ws(' ', CASE WHEN years > 0 THEN years::VARCHAR || CASE WHEN years = 1 THEN 'year' ELSE 'years' END END,
+  CASE WHEN months > 0 THEN months::VARCHAR || CASE WHEN months = 1 THEN 'month' ELSE 'months' END END, CASE WHEN days > 0 THEN days::VARCHAR || CASE WHEN days = 1 THEN 'day' ELSE 'days' END END,
+  CASE WHEN t >= 3600 THEN (t // 3600)::VARCHAR || 'h' END, CASE WHEN t % 3600 >= 60 THEN (t % 3600 // 60)::VARCHAR || 'm' END, CASE WHEN t % 60 > 0 THEN (t % 60)::VARCHAR || 's' END) END AS words FROM b""")
+def duration_format_all(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", format_duration(F.col("event_id") * 86_461_000_000).alias("words"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id::DOUBLE ELSE event_id + 0.5::DOUBLE END AS n FROM events")
 def infer_widen_int_float(spark, sf_dir):
     n = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise((F.col("event_id") + F.lit(0.5)).cast("string"))
@@ -345,11 +354,21 @@ def sort_desc_nulls_first(spark, sf_dir):
     return rows.sort(aligned_ragged_null(spark, sf_dir), "value", "event_id", descending=True).limit(150)
 
 
+@query("SELECT event_id, value FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events) ORDER BY value DESC NULLS FIRST, event_id DESC")
+def sort_desc_nulls_first_all(spark, sf_dir):
+    return rows.sort(aligned_ragged_null(spark, sf_dir), "value", "event_id", descending=True)
+
+
 @query("SELECT event_type, event_id FROM events ORDER BY event_type NULLS FIRST, event_id LIMIT 40")
 def sort_multi_key(spark, sf_dir):
     return rows.sort(scan_parse_events(spark, sf_dir), "event_type", "event_id").select("event_type", "event_id").limit(40)
 
 
+@query("SELECT event_type, event_id FROM events ORDER BY event_type NULLS FIRST, event_id")
+def sort_multi_key_all(spark, sf_dir):
+    return rows.sort(scan_parse_events(spark, sf_dir), "event_type", "event_id").select("event_type", "event_id")
+
+
 @query("SELECT event_id::VARCHAR AS event_id, event_type, NULL AS order_key FROM events WHERE event_id < 100 UNION ALL SELECT NULL, NULL, o_orderkey::VARCHAR FROM orders WHERE o_orderkey < 100")
 def union_keys_frame(spark, sf_dir):
     last_key_wins(spark)
@@ -358,6 +377,13 @@ def union_keys_frame(spark, sf_dir):
     return rows.union_of_keys(some.union(more).select(parse_map(F.col("value")).alias("row")))
 
 
+@query("SELECT event_id::VARCHAR AS event_id, event_type, NULL AS order_key FROM events UNION ALL SELECT NULL, NULL, o_orderkey::VARCHAR FROM orders")
+def union_keys_frame_all(spark, sf_dir):
+    last_key_wins(spark)
+    more = lines(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key")))
+    return rows.union_of_keys(events(spark, sf_dir, "event_id", "event_type").union(more).select(parse_map(F.col("value")).alias("row")))
+
+
 @query("SELECT event_id, event_type, NULL AS user_id FROM events UNION ALL SELECT event_id, NULL, user_id FROM events")
 def vertical_stack(spark, sf_dir):
     df = scan_parse_events(spark, sf_dir)
@@ -403,12 +429,12 @@ def asof_by_user(spark, sf_dir):
 # --- flagship ---
 
 
-def run_lines(spark, sf_dir):
-    """A log of writes (from lineitem) and of finished runs (from orders)."""
+def run_lines(spark, sf_dir, finished="o_orderkey % 16 = 0"):
+    """A log of writes (from lineitem) and of finished runs (from orders, those that finished holds for)."""
     at = lambda day, key: F.col(day) + F.make_dt_interval(secs=(F.col(key) * F.lit(1_000_001) / F.lit(1_000_000)).cast("decimal(18,6)"))
     name = F.when(F.col("l_linenumber") == 7, F.lit("health_check")).otherwise(F.concat("l_returnflag", F.lit("_"), "l_linestatus"))
     writes = table(spark, sf_dir, "lineitem").withColumn("at", at("l_shipdate", "l_orderkey")).select(rfc3339("at").alias("time"), F.lit("info").alias("level"), F.lit("finish to process/write ").alias("msg"), F.concat(F.lit("/data/out/"), name, F.lit("/part")).alias("new"), F.col("l_quantity").cast("bigint").alias("bytes"))
-    runs = table(spark, sf_dir, "orders").where("o_orderkey % 16 = 0").withColumn("at", at("o_orderdate", "o_orderkey")).select(rfc3339("at").alias("time"), F.lit("info").alias("level"), F.lit("run finished").alias("msg"), F.col("o_orderkey").alias("totals"))
+    runs = table(spark, sf_dir, "orders").where(finished).withColumn("at", at("o_orderdate", "o_orderkey")).select(rfc3339("at").alias("time"), F.lit("info").alias("level"), F.lit("run finished").alias("msg"), F.col("o_orderkey").alias("totals"))
     return lines(writes).union(lines(runs))
 
 
@@ -421,6 +447,15 @@ def flagship(spark, sf_dir):
     return bytes_per_run(staged(run_lines(spark, sf_dir), "log"))
 
 
+@query("""WITH r AS (
+  SELECT o_orderdate + to_microseconds(o_orderkey * 1000001) AS t, o_orderkey::VARCHAR AS totals FROM orders),
+i AS (SELECT *, row_number() OVER (ORDER BY t, totals) - 1 AS finished_id FROM r),
+w AS (SELECT l_shipdate + to_microseconds(l_orderkey * 1000001) AS t, l_returnflag || '_' || l_linestatus AS table_name, l_quantity::BIGINT AS bytes FROM lineitem WHERE l_linenumber <> 7)
+SELECT w.table_name, i.finished_id, sum(w.bytes)::BIGINT AS bytes_sum, min(i.totals) AS first_totals FROM w ASOF LEFT JOIN i ON w.t < i.t GROUP BY w.table_name, i.finished_id""")
+def flagship_all(spark, sf_dir):
+    return bytes_per_run(staged(run_lines(spark, sf_dir, "true"), "log"))
+
+
 # --- what the host engine brings along ---
 
 

@@ -18,6 +18,18 @@ def test_catalogue(spark, sf_dir, same_rows, name):
         assert df.count() >= 0
 
 
+def test_queries_over_all_rows(spark, sf_dir):
+    n, orders = catalogue.table(spark, sf_dir, "events").count(), catalogue.table(spark, sf_dir, "orders").count()
+    got = [tuple(r) for r in catalogue.sort_multi_key_all(spark, sf_dir).collect()]
+    assert len(got) == n and got == sorted(got)
+    got = [(r["value"] is None, r["value"] or 0, r["event_id"]) for r in catalogue.sort_desc_nulls_first_all(spark, sf_dir).collect()]
+    assert len(got) == n and got == sorted(got, reverse=True)
+    words = [r["words"] for r in catalogue.duration_format_all(spark, sf_dir).collect()]
+    assert len(words) == n and all(any(unit in w for w in words) for unit in ("year", "month", "day"))
+    assert catalogue.union_keys_frame_all(spark, sf_dir).count() == n + orders
+    assert catalogue.run_lines(spark, sf_dir, "true").where("value LIKE '%run finished%'").count() == orders
+
+
 def test_entry(spark):
     import __spark_entry__
 
