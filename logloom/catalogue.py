@@ -6,9 +6,15 @@ with host_ stand for what the host engine brings along.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +28,7 @@ from .plans.flagship import bytes_per_run
 from .plans.schema import infer
 from .sources import seekzst
 from .sources.datasource import register
+from .sources.paths import Bytes
 from .sources.reader import LogReader, scan_lines
 from .sources.sinks import shared_path, staged, write_parquet
 from .sources.units import UnitSource, unit_lines
@@ -206,6 +213,49 @@ def zst_scan(spark, sf_dir):
     return spark.read.format("logfmt").load(path)
 
 
+def event_files(spark, sf_dir) -> list[tuple[str, int]]:
+    """Paths of all events as seekable zstd, a file for each partition, written in tasks; and how many frames each has."""
+    base = shared_path(spark, "events")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, name = fs.FileSystem.from_uri(f"{base}/{TaskContext.get().partitionId()}.log.zst")
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(name, compression=None) as out:
+            frames = seekzst.write(("".join(f"{x}\n" for x in b.column(0).to_pylist()).encode() for b in batches), out)
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "frames": [len(frames)]})
+
+    found = events(spark, sf_dir).mapInArrow(write, "part bigint, frames bigint").collect()
+    return [(f"{base}/{r[0]}.log.zst", r[1]) for r in sorted(found)]
+
+
+class FrameUnits(UnitSource):
+    """The frames of seekable zstd files as units."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files, self.ends = files, list(accumulate(n for _, n in files))
+
+    def count_units(self) -> int:
+        return self.ends[-1]
+
+    def read_unit(self, index: int) -> bytes:
+        k = bisect_right(self.ends, index)
+        path, n = self.files[k]
+        read = Bytes(path)
+        return seekzst.read_frame(read, seekzst.frames(read, read.size())[index - self.ends[k] + n])
+
+
+@query(ALL_EVENTS)
+def unit_scan_events(spark, sf_dir):
+    return scan_lines(unit_lines(spark, FrameUnits(event_files(spark, sf_dir))), ScanOptions(schema=EVENT))
+
+
+@query(ALL_EVENTS)
+def zst_scan_events(spark, sf_dir):
+    register(spark)
+    read = lambda path: spark.read.format("logfmt").option("options", json.dumps({"schema": EVENT})).load(path)
+    return reduce(DataFrame.union, [read(path) for path, _ in event_files(spark, sf_dir)])
+
+
 @query("SELECT event_id, event_type, user_id, value FROM events")
 def text_file_scan(spark, sf_dir):
     path = shared_path(spark, "lines")

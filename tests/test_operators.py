@@ -7,6 +7,7 @@ from logloom import catalogue
 from logloom.functions.text import between, extract, human_bytes
 from logloom.operators import filters, rows
 from logloom.operators.asof import asof_join, next_index
+from logloom.sources.datasource import parts
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
@@ -30,6 +31,17 @@ def test_queries_over_all_rows(spark, sf_dir):
     assert catalogue.run_lines(spark, sf_dir, "true").where("value LIKE '%run finished%'").count() == orders
 
 
+def test_zstd_events_are_split(spark, tmp_path):
+    """Frames of the real size, in several groups of a file."""
+    df = spark.range(40_000).selectExpr("id AS event_id", "id % 7 AS user_id", "'click' AS event_type", "id / 2D AS value")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    files = catalogue.event_files(spark, str(tmp_path))
+    assert len(files) == spark.sparkContext.defaultParallelism and all(n > 4 for _, n in files)
+    assert all(len(parts(path, split=128 << 10)) > 1 for path, _ in files)
+    for scan in (catalogue.zst_scan_events, catalogue.unit_scan_events):
+        assert sorted(map(tuple, scan(spark, str(tmp_path)).select("event_id", "user_id", "event_type", "value").collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_entry(spark):
     import __spark_entry__
 
