@@ -167,13 +167,14 @@ def train(sample: list[str], labels: list[int], landmarks: int = LANDMARKS, seed
     toxic, clean = examples(sample, labels)
     if not toxic or not clean:
         return none
-    plus = sorted(toxic, key=lambda t: (-toxic[t], t))[: landmarks // 2]
+    plus = sorted(toxic, key=lambda t: (-toxic[t], t))  # all are examples; the most frequent are landmarks
     wider = [*plus, *(v for t in plus for v in varied(t, rng))]
     often = np.sqrt([toxic[t] for t in plus] + [toxic[t] / 4 for t in plus for _ in range(INSERTED + DOUBLED)])
     minus = [clean[i] for i in rng.choice(len(clean), min(len(clean), 1500), replace=False)]
     model: dict = {}
     for _ in range(3):
-        marks = [*plus, *minus[-(landmarks - len(plus)) :]]
+        first = plus[: landmarks // 2]
+        marks = [*first, *minus[-(landmarks - len(first)) :]]
         own = kernel(marks, marks)
         val, vec = np.linalg.eigh(own + 1e-3 * np.eye(len(marks)))
         white = vec / np.sqrt(np.maximum(val, 1e-3)) @ vec.T

@@ -434,6 +434,20 @@ def test_held_out_accuracy(spark, sf_dir):
     assert query(spark, larger).collect() == query(spark, larger).collect()
 
 
+def test_rare_toxic_terms_are_examples(monkeypatch):
+    rng = random.Random(6)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    insults, clean = {word("qxzjkv", 7): 20 + (i < 70) * 12 for i in range(90)}, [word("abcdeilmnorst", 6) for _ in range(300)]
+    sentence = lambda: " ".join(rng.sample(clean, 6))
+    rows = [(f"{sentence()} {t}", 1) for t, n in insults.items() for _ in range(n)] + [(sentence(), 0) for _ in range(3000)]
+    toxic, _ = toxicity.examples(*zip(*rows, strict=True))
+    assert set(insults) <= set(toxic)
+    given = []
+    monkeypatch.setattr(toxicity, "hinge", lambda x, y, weight: given.append(int((y > 0).sum())) or (np.zeros(x.shape[1]), 0.0))
+    toxicity.train(*map(list, zip(*rows, strict=True)))
+    assert set(given) == {len(toxic) * (1 + toxicity.INSERTED + toxicity.DOUBLED)}
+
+
 def plain_kernel(a, b):
     def vector(t):
         s = toxicity.symbols(f"\n{t}\n")
