@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import PurePosixPath
 
@@ -29,13 +30,28 @@ def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, as spark.checkpoint.dir names it; unset (as in tests): on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getuid()}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, as spark.checkpoint.dir names it. Only where executors are threads of this process, as in tests, may that be
+    unset. All paths of an application lie in one folder, which is deleted when its JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = f"file:///tmp/checkpoints/{os.getuid()}"
+    folder = f"{base}/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _folders.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_folders: set[str] = set()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once and read again, for what is used more than once: they are not computed again, and a lost executor costs nothing."""
+    """The rows written once and read again, for what is used more than once: they are not computed again, a lost executor costs nothing, and the optimiser knows their size."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
