@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_classifier": subwords.op10_quality_classifier,
 }
 ORACLE_SQL = {
+    "op3_decontamination": decontaminate.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
 }
