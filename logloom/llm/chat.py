@@ -99,13 +99,20 @@ def read_back(formatted: Column, template: dict = TEMPLATE) -> Column:
     return F.transform(pieces, turn)
 
 
+def loss_text(turns: Column, template: dict = TEMPLATE) -> Column:
+    """What counts for the loss of turns that were read back: the texts of the template's roles that do, nothing between."""
+    roles = [F.lit(name) for name, (_, _, loss) in template["roles"].items() if loss and name != "*"]
+    others = [name for name in template["roles"] if name != "*"] if template["roles"]["*"][2] else None
+    counts = lambda t: t["role"].isin(roles) if others is None else t["role"].isin(roles) | ~t["role"].isin(others)
+    return F.array_join(F.transform(F.filter(turns, counts), lambda t: t["text"]), "")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     out = format_chats(rows.unionByName(extra))
-    loss = unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), ""))
-    out = out.select("conv_id", "valid", "formatted", read_back(F.col("formatted")).alias("turns"), loss.alias("loss"))
+    out = out.select("conv_id", "valid", "first_bad_turn", "formatted", read_back(F.col("formatted")).alias("turns")).withColumn("loss", loss_text(F.col("turns")))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -113,27 +120,35 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.col("first_bad_turn").cast("long").alias("first_bad_turn"),
     )
 
 
 def _sql() -> str:
-    """The same digests from the rows themselves; the formatted length adds each turn's marks and each escape."""
+    """The same digests from the rows themselves; the formatted length adds each turn's marks and each escape. The first bad turn is the first that its predecessor's role does not allow."""
     text = "replace(text, '\\', '\\0')"
     for first in sorted({c[0] for c in controls()}):
         tails = "|".join(sorted({"".join("\\" + x if not x.isalnum() else x for x in c[1:]) for c in controls() if c[0] == first}))
         text = f"regexp_replace({text}, '\\{first}({tails})', '{first}{first}\\1', 'g')"
     marks = " ".join(f"WHEN '{r}' THEN {len(TEMPLATE['begin'] + a + b + TEMPLATE['end'])}" for r, (a, b, _) in TEMPLATE["roles"].items() if r != "*")
     other = len(TEMPLATE["begin"] + "".join(TEMPLATE["roles"]["*"][:2]) + TEMPLATE["end"])
+    allowed = ", ".join(f"('{a}', '{b}')" for a, after in TRANSITIONS.items() for b in after)
     return f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (
+  SELECT *, row_number() OVER w - 1 AS n, coalesce(lag(role) OVER w, '') AS before
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
-       sum(length({text}) + CASE role {marks} ELSE {other} + length(role) END)::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+       sum(length({text}) + CASE role {marks} ELSE {other} + length(role) END)::BIGINT AS formatted_chars,
+       count(CASE WHEN (before, role) NOT IN ({allowed}) THEN 1 END) = 0 AS valid,
+       min(CASE WHEN (before, role) NOT IN ({allowed}) THEN n END)::BIGINT AS first_bad_turn
+FROM o GROUP BY conv_id
 """
 
 

@@ -2,7 +2,7 @@
 
 One automaton holds every part of every template. A file's words are streamed through it: at each word the longest stretch
 that ends there and occurs in some template is known (matching statistics). Stretches of MIN_MATCH words or more are chained
-while gaps stay small and the template goes on; a chain that covers enough of a template, or enough words, gives its label.
+while gaps stay small and the template goes on, at the next of all the places where it has the stretch; a chain that covers enough of a template, or enough words, gives its label.
 Words outside all templates reset the automaton, so only runs of template words are streamed, with the same result.
 
 Base phrases are found wherever their words stand consecutively and always give their labels. Null and empty texts have no words
@@ -12,8 +12,8 @@ and no labels; repeated rows are scanned each for itself; an empty table gives n
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +30,17 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
     ],
     "mit": [
-        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
     ],
     "bsd": [
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    ],
     "gpl": [
         """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
         "This work is licensed under the GNU General Public License, version 3.",
@@ -48,7 +50,9 @@ TEMPLATES = {
     "agpl": ["You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
-    "unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "unlicense": [
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    ],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
@@ -60,7 +64,7 @@ MIN_MATCH, MAX_GAP, ENOUGH_WORDS, ENOUGH_SHARE = 3, 8, 12, 0.8
 
 
 class Automaton:
-    """A generalised suffix automaton over words. ends: for each state and template, where the stretch first ends in it."""
+    """A generalised suffix automaton over words. ends: for each state and template, all places where the stretch ends in it, in order."""
 
     def __init__(self, texts: list[list[bytes]]):
         self.next: list[dict[bytes, int]] = [{}]
@@ -69,11 +73,12 @@ class Automaton:
             last = 0
             for i, word in enumerate(text):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(k, i)
+                self.ends[last].setdefault(k, set()).add(i)
         for state in sorted(range(1, len(self.len)), key=lambda s: -self.len[s]):
-            for k, i in self.ends[state].items():
-                old = self.ends[self.link[state]].get(k)
-                self.ends[self.link[state]][k] = i if old is None else min(i, old)
+            if self.link[state]:  # the empty stretch ends everywhere
+                for k, places in self.ends[state].items():
+                    self.ends[self.link[state]].setdefault(k, set()).update(places)
+            self.ends[state] = {k: sorted(places) for k, places in self.ends[state].items()}
 
     def _add(self, length: int, after: dict, link: int) -> int:
         self.next.append(after)
@@ -103,7 +108,7 @@ class Automaton:
             self.link[new] = q if self.len[q] == self.len[p] + 1 else self._split(p, q, word)
         return new
 
-    def stretches(self, text: list[bytes], start: int, stop: int, least: int) -> Iterator[tuple[int, int, dict[int, int]]]:
+    def stretches(self, text: list[bytes], start: int, stop: int, least: int) -> Iterator[tuple[int, int, dict[int, list[int]]]]:
         """(first word, end, ends) of the stretches of text[start:stop] that no longer one holds."""
         state, n = 0, 0
         for i in range(start, stop):
@@ -144,11 +149,13 @@ class Scanner:
                     if w[i] == phrase[0] and tuple(w[i : i + len(phrase)]) == phrase:
                         places.append((i, label))
             for a, b, ends in self.automaton.stretches(w, run.start(), run.end(), MIN_MATCH):
-                for k, end in ends.items():
+                for k, stops in ends.items():
                     chain = chains.get(k)
-                    if chain and (a - chain[1] > MAX_GAP or end <= chain[2]):
+                    at = bisect_right(stops, chain[2]) if chain else 0
+                    if chain and (a - chain[1] > MAX_GAP or at == len(stops)):
                         self._close(k, chains.pop(k), found)
-                        chain = None
+                        chain, at = None, 0
+                    end = stops[at]
                     if chain is None:
                         chains[k] = [[(a, b)], b, end, b - a]
                     elif b > chain[1]:
@@ -167,23 +174,32 @@ class Scanner:
             found[label] = (max(share, old[0]), sorted({*old[1], *chain[0]}))
 
 
-def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word ranges as ranges of code points of the text."""
-    data = utf8(text)
-    plain, at, bounds = data.translate(LOWER_ALNUM), 0, []
+def word_bounds(text: str | None) -> list[tuple[int, int]]:
+    """Where a text's words begin and end, in bytes of UTF-8."""
+    plain, at, out = utf8(text).translate(LOWER_ALNUM), 0, []
     for w in plain.split():
         at = plain.index(w, at)
-        bounds.append((at, at + len(w)))
+        out.append((at, at + len(w)))
         at += len(w)
-    points = [0, *accumulate((b & 0xC0) != 0x80 for b in data)]
+    return out
+
+
+def spans(text: str, ranges: list[tuple[int, int]], bounds: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Word ranges, in order, as ranges of code points of the text; each byte is counted once."""
+    bounds, data = word_bounds(text) if bounds is None else bounds, utf8(text)
+    places = sorted({x for a, b in ranges for x in (bounds[a][0], bounds[b - 1][1])})
+    points, at, n = {}, 0, 0
+    for x in places:
+        n += len(data[at:x].decode("utf-8", "surrogatepass"))
+        points[x], at = n, x
     return [(points[bounds[a][0]], points[bounds[b - 1][1]]) for a, b in ranges]
 
 
 _scanner: list[Scanner] = []
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, places, base_labels, matches (label, share, spans in code points) for every row of docs (doc_id, text)."""
+def scan(docs: DataFrame, with_spans: bool = True) -> DataFrame:
+    """doc_id, n_words, places, base_labels, matches (label, share, spans in code points; null if they are not asked for) for every row of docs (doc_id, text)."""
     schema = f"doc_id {kind(docs)}, n_words bigint, places array<bigint>, base_labels array<string>, matches array<struct<label:string,share:double,spans:array<array<int>>>>"
 
     def apply(batch: pa.RecordBatch) -> dict:
@@ -195,14 +211,15 @@ def scan(docs: DataFrame) -> DataFrame:
             out["n_words"].append(s["n_words"])
             out["places"].append([i for i, _ in s["places"]])
             out["base_labels"].append(sorted({x for _, x in s["places"]}))
-            out["matches"].append([{"label": k, "share": share, "spans": spans(text, ranges)} for k, (share, ranges) in sorted(s["found"].items())])
+            bounds = word_bounds(text) if with_spans and s["found"] else []
+            out["matches"].append([{"label": k, "share": share, "spans": spans(text, ranges, bounds) if with_spans else None} for k, (share, ranges) in sorted(s["found"].items())])
         return out
 
     return map_batches(docs.select("doc_id", "text"), schema, apply)
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    out = scan(table(spark, sf_dir, "documents", "doc_id", "text"), with_spans=False)
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("matches", lambda m: m["label"]))))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
     return out.select(
@@ -215,3 +232,25 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(labels, ",").alias("labels"),
         F.when(F.size("places") > 0, F.greatest(best, F.lit(0.5))).otherwise(best).alias("score"),
     )
+
+
+def base_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_licences that hold base phrases only, which SQL can express too."""
+    return op8_licences(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _sql() -> str:
+    """Phrases at every place of the words."""
+    cases = " UNION ALL ".join(f"SELECT {p.split()!r} AS p, '{label}' AS label" for p, label in PHRASES.items())
+    return f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS ({cases}),
+f AS (SELECT doc_id, i, label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d), p WHERE w[i + 1 : i + len(p)] = p)
+SELECT d.doc_id, any_value(len(w))::BIGINT AS n_words, count(i)::BIGINT AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+BASE_SQL = _sql()

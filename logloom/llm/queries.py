@@ -15,9 +15,13 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_chat": chat.op9_chat,
     "op10_quality_classifier": subwords.op10_quality_classifier,
+    "base_quality": quality_rules.base_quality,
+    "base_licences": licences.base_licences,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
+    "base_quality": quality_rules.BASE_SQL,
+    "base_licences": licences.BASE_SQL,
 }
