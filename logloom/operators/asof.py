@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 from ..sources.sinks import staged
 
-#: Distinct times in one bucket of time, on average.
-PER_BUCKET = 100_000
+
+def bucketed(both: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Rows of a time _t, written with the number _b of their bucket of time: range partitions, whose bounds follow a sample of the times, so that neither
+    stray times nor bursts fill one bucket; equal times share one. Without a number, as many as shuffles have, fewer if they are small."""
+    dealt = both.repartitionByRange(buckets, "_t") if buckets else both.repartitionByRange("_t")
+    return staged(dealt.withColumn("_b", F.spark_partition_id()), "asof")
 
 
 def next_index(times: Sequence, at) -> int | None:
@@ -36,7 +40,7 @@ def asof_join(
 
     Of right rows of one time, the one that is first by first_by counts. tolerance is in microseconds for times. Left rows without a match, and those
     of null time, get nulls; null keys are equal. Only distinct times are compared, so that a time which many rows share costs no more than another: they are dealt to
-    buckets of time, each sorted by a task of its own; a bucket that holds no answer gets it from a table with one row for each bucket.
+    buckets of about as many times each, sorted by a task of its own; a bucket that holds no answer gets it from a table with one row for each bucket.
     """
     if direction == "nearest":
         return _nearest(left, right, left_on, right_on, by, allow_equal, tolerance, first_by, suffix, buckets)
@@ -48,11 +52,7 @@ def asof_join(
     lefts = left.where(F.col(f"`{left_on}`").isNotNull()).select(*by, (_number(left, left_on) * sign).alias("_t")).distinct()
     # equal times: a right row that may match stands after the left row, one that may not before it
     both = lefts.withColumns({"_r": F.lit(None).cast(rights.schema["_r"].dataType), "_s": F.lit(0 if allow_equal else 1)}).unionByName(rights.withColumn("_s", F.lit(1 if allow_equal else 0)))
-    both = staged(both, "asof")
-    low, high, n = both.agg(F.min("_t"), F.max("_t"), F.count("*")).first()
-    buckets = buckets or max(1, -(-(n or 0) // PER_BUCKET))
-    width = ((high - low) / buckets or 1) if n else 1
-    both = both.withColumn("_b", F.floor((F.col("_t") - F.lit(low or 0)) / F.lit(width)).cast("bigint"))
+    both = bucketed(both, buckets)
     firsts = both.groupBy(*by, "_b").agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_first"))
     later = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     firsts = firsts.select(*by, "_b", F.last("_first", ignorenulls=True).over(later).alias("_later"))

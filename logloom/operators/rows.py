@@ -31,6 +31,16 @@ def first_rows(df: DataFrame, n: int, order: Sequence[Column | str] = ()) -> Dat
     return (df.orderBy(*order) if order else df).limit(n)
 
 
+def slice_rows(df: DataFrame, offset: int, n: int, order: Sequence[Column | str]) -> DataFrame:
+    """n rows from an offset on, in an order."""
+    return df.orderBy(*order).offset(offset).limit(n)
+
+
+def last_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The last n rows in an order of columns (nulls first): the first n of the opposite order, turned round again."""
+    return sort(sort(df, *order, descending=True).limit(n), *order)
+
+
 def sum_of(column: str, kind: str = "bigint") -> Column:
     """A sum that is 0 over no values."""
     return F.coalesce(F.sum(F.col(f"`{column}`").cast(kind)), F.lit(0).cast(kind))

@@ -20,7 +20,7 @@ class ScanOptions:
     infer_schema_length: lines that the schema is inferred from.
     aligned_cols_cnt: columns are the first line's keys, and what is missing is null; else missing numbers are 0, texts empty.
     missing: "fill" or "null" overrides that choice. compat: keep the format's oddities (see functions.tokenizer).
-    batch_size: rows in a pulled batch. n_threads: partitions of a scan, if any wish. cmd: remote command instead of reading the path.
+    unescape: what backslashes protect in place of the backslashes, in all values. batch_size: rows in a pulled batch. n_threads: partitions of a scan, if any wish. cmd: remote command instead of reading the path.
     """
 
     line_filter: str | Callable | None = None
@@ -33,6 +33,7 @@ class ScanOptions:
     row_filter: Callable | None = None
     missing: str | None = None
     compat: bool = True
+    unescape: bool = False
 
     #: What JSON may hold.
     JSON = ("line_filter", "schema", "infer_schema_length", "batch_size", "n_threads", "aligned_cols_cnt", "cmd")

@@ -36,6 +36,12 @@ def struct_type(schema: dict[str, str]) -> T.StructType:
     return T.StructType([T.StructField(n, values.SPARK_TYPES[schema[n]]) for n in in_order(schema)])
 
 
+def kinds_of_frame(df: DataFrame) -> dict[str, str]:
+    """The schema of a scan's rows, for another scan; durations are the numbers that they are there."""
+    kinds = {kind.simpleString(): name for name, kind in reversed(values.SPARK_TYPES.items()) if name not in ("duration", "auto")}
+    return {f.name: kinds[f.dataType.simpleString()] for f in df.schema}
+
+
 def infer_from_rows(rows: DataFrame, column: str = "row") -> dict[str, str]:
     """The schema that all rows (maps of text) have together; kinds of a key meet in an aggregate, so that only keys come to the driver."""
     tags = rows.select(F.explode(column).alias("k", "v")).select("k", values.infer_type(F.col("v")).alias("t")).distinct()

@@ -3,7 +3,10 @@
     register(spark); spark.read.format("logfmt").option("options", '{"line_filter": "error"}').load("app.log.zst")
 
 It also serves CREATE TEMPORARY VIEW ... USING logfmt. Files are split by frame, or by chunks of whole lines; what has no
-table of frames is one partition. With the option raw=true the lines come as they are, in one column "value".
+table of frames is one partition. A line belongs to the task in whose frames it begins: every task but the first begins after its
+first newline, and every task reads on to the first newline behind its frames, so that frames may end anywhere and the driver decompresses
+none. With the option raw=true the lines come as they are, in one column "value"; scan_log() takes that way, as Column
+expressions prune columns and push filters, which a Python source cannot.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import values
 from ..functions.tokenizer import pairs
@@ -50,9 +54,7 @@ def parts(path: str, cmd: str | None = None, split: int | None = None) -> list[P
             if not groups or sum(x.length for x in groups[-1]) >= most:
                 groups.append([])
             groups[-1].append(f)
-        # a line that goes on in the next task's frame would be cut: then one task reads all
-        whole = seekzst.ends_with_lines(read, [g[-1] for g in groups])
-        return [Part("frames", g) for g in groups] if whole else [Part("stream")]
+        return [Part("frames", g) for g in groups]
     return [Part("plain", start=a, length=n) for a, n in seekzst.plan(size, read, chunk=share(size))]
 
 
@@ -63,10 +65,30 @@ def pieces_of(path: str, part: Part, cmd: str | None = None) -> Iterator[bytes]:
     if part.kind == "stream":
         return seekzst.whole(read, read.size())
     if part.kind == "frames":
-        return (seekzst.read_frame(read, f) for f in part.frames)
+        return lines_begun(read, part.frames)
     return (read(a, min(1 << 20, part.start + part.length - a)) for a in range(part.start, part.start + part.length, 1 << 20))
 
 
+def lines_begun(read: Bytes, own: list[seekzst.Frame]) -> Iterator[bytes]:
+    """The bytes of the lines that begin in these frames; the line that begins right behind them counts as theirs, and the one at their start as that of the task before."""
+    at, inside = 0, own[0].index == 0
+    for frame in own:
+        piece = seekzst.read_frame(read, frame)
+        if not inside:
+            at = piece.find(b"\n") + 1
+            inside, piece = at > 0, piece[at:] if at else b""
+        if piece:
+            yield piece
+    if inside:  # else one line covers all of them, and the task in which it began reads it
+        for frame in seekzst.frames(read, read.size())[own[-1].index + 1 :]:
+            piece = seekzst.read_frame(read, frame)
+            end = piece.find(b"\n") + 1
+            if chosen := piece[:end] if end else piece:
+                yield chosen
+            if end:
+                return
+
+
 def read_lines(path: str, part: Part, cmd: str | None = None) -> Iterator[str]:
     return lines_of(pieces_of(path, part, cmd))
 
@@ -117,19 +139,22 @@ class LogSource(DataSource):
 
 class LogReaderTask(DataSourceReader):
     def __init__(self, path: str, options: ScanOptions, raw: bool, kinds: dict[str, str], schema: T.StructType):
-        self.path, self.options, self.raw = path, options, raw
+        self.path, self.options, self.raw, self.schema = path, options, raw, schema
         self.columns = [(n, kinds.get(n, "string")) for n in schema.names]
 
     def partitions(self) -> list[Part]:
         return parts(self.path, self.options.cmd)
 
-    def read(self, part: Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if self.raw:
             yield from line_batches(pieces_of(self.path, part, self.options.cmd))
             return
-        for line in accepted(read_lines(self.path, part, self.options.cmd), self.options):
-            row = dict(pairs(line, self.options.compat))
-            yield tuple(values.py_typed(row.get(n), k, self.options.fill) for n, k in self.columns)
+        lines = accepted(read_lines(self.path, part, self.options.cmd), self.options)
+        types = to_arrow_schema(self.schema)
+        while some := list(islice(lines, BATCH_LINES)):
+            rows = [dict(pairs(line, self.options.compat)) for line in some]
+            columns = [[values.py_typed(row.get(n), k, self.options.fill) for row in rows] for n, k in self.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
 
 
 def kinds_of(path: str, options: ScanOptions) -> dict[str, str]:

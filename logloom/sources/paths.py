@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shlex
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from urllib.parse import unquote, urlsplit
 
 
@@ -18,7 +21,32 @@ class SshSource:
     port: int = 22
 
     def command(self, remote: str) -> list[str]:
-        return ["ssh", "-o", "BatchMode=yes", "-p", str(self.port), f"{self.user}@{self.host}", remote]
+        """The ssh program's arguments. KEY names a file of a private key; a password (or that of the key) in PASSWORD is handed over by ASKPASS."""
+        key = ["-i", os.environ[KEY], "-o", "IdentitiesOnly=yes"] if os.environ.get(KEY) else []
+        batch = [] if os.environ.get(PASSWORD) else ["-o", "BatchMode=yes"]
+        return ["ssh", *batch, *key, "-p", str(self.port), f"{self.user}@{self.host}", remote]
+
+
+#: Names in the environment of whoever reads: on a cluster, spark.executorEnv.<name> sets them. They are no options, as those appear in plans.
+KEY, PASSWORD = "LOGLOOM_SSH_KEY", "LOGLOOM_SSH_PASSWORD"
+
+
+@lru_cache(maxsize=1)
+def _askpass() -> str:
+    """A script of this process's own that prints the password from its environment; it holds no secret itself."""
+    handle, script = tempfile.mkstemp(prefix="askpass-")
+    with os.fdopen(handle, "w") as f:
+        f.write(f"#!/bin/sh\nprintf '%s\\n' \"${PASSWORD}\"\n")
+    os.chmod(script, 0o700)
+    atexit.register(lambda: os.path.exists(script) and os.unlink(script))
+    return script
+
+
+def _environment() -> dict[str, str]:
+    """The environment of an ssh program: with a password set, that asks a script for it."""
+    if not os.environ.get(PASSWORD):
+        return dict(os.environ)
+    return os.environ | {"SSH_ASKPASS": _askpass(), "SSH_ASKPASS_REQUIRE": "force", "DISPLAY": os.environ.get("DISPLAY", ":0")}
 
 
 def parse_ssh(url: str) -> SshSource:
@@ -53,7 +81,7 @@ class Bytes:
     def size(self) -> int:
         if self.path.startswith("ssh://"):
             s = parse_ssh(self.path)
-            return int(subprocess.run(s.command(f"wc -c < {shlex.quote(s.path)}"), check=True, capture_output=True).stdout)
+            return int(subprocess.run(s.command(f"wc -c < {shlex.quote(s.path)}"), check=True, capture_output=True, env=_environment()).stdout)
         if self.local is not None:
             return os.stat(self.local).st_size
         system, path = self._arrow()
@@ -65,7 +93,7 @@ class Bytes:
             return b""
         if self.path.startswith("ssh://"):
             s = parse_ssh(self.path)
-            return subprocess.run(s.command(f"tail -c +{start + 1} {shlex.quote(s.path)} | head -c {length}"), check=True, capture_output=True).stdout
+            return subprocess.run(s.command(f"tail -c +{start + 1} {shlex.quote(s.path)} | head -c {length}"), check=True, capture_output=True, env=_environment()).stdout
         if self.local is not None:
             with open(self.local, "rb") as f:
                 f.seek(start)
@@ -89,7 +117,7 @@ def ssh_stream(url: str, cmd: str | None = None) -> Iterator[bytes]:
     import zstandard
 
     s = parse_ssh(url)
-    run = subprocess.Popen(s.command(cmd or f"cat {shlex.quote(s.path)}"), stdout=subprocess.PIPE)
+    run = subprocess.Popen(s.command(cmd or f"cat {shlex.quote(s.path)}"), stdout=subprocess.PIPE, env=_environment())
     stream = zstandard.ZstdDecompressor().stream_reader(run.stdout, read_across_frames=True) if s.path.endswith(".zst") and not cmd else run.stdout
     while piece := stream.read(1 << 16):
         yield piece

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokenizer import last_key_wins, parse_map, raw_map, unquote
+from ..functions.tokenizer import last_key_wins, parse_map, raw_map, unescaped, unquote
 from ..functions.values import typed
 from ..options import ScanOptions
 from ..plans import schema as schemas
 from .datasource import kinds_of, register
+from .sinks import staged
 from .units import UnitSource, unit_lines
 
 
@@ -47,7 +49,8 @@ def scan_lines(lines: DataFrame, options: ScanOptions | None = None, column: str
     rows = rows.select(once(raw_map(F.col(column))).alias("_raw"))
     names = schemas.in_order(schema)
     rows = rows.select(*(F.try_element_at("_raw", F.lit(n)).alias(n) for n in names))
-    rows = rows.select(*(unquote(F.col(f"`{n}`"), options.compat).alias(n) for n in names))
+    value = lambda n: unquote(F.col(f"`{n}`"), options.compat)
+    rows = rows.select(*((unescaped(value(n)) if options.unescape else value(n)).alias(n) for n in names))
     return rows.select(*(typed(F.col(f"`{n}`"), schema[n], options.fill).alias(n) for n in names))
 
 
@@ -59,17 +62,23 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 
 
-def scan_log(spark: SparkSession, source: str, options: ScanOptions | None = None) -> DataFrame:
-    """Typed rows of a file: local or in any store that Spark reads, over ssh, plain or zstd."""
+def scan_log(spark: SparkSession, source: str | Sequence[str], options: ScanOptions | None = None) -> DataFrame:
+    """Typed rows of a file: local or in any store that Spark reads, over ssh, plain or zstd. Several files, of one kind, are given as a list; the first with text has the schema."""
+    if not isinstance(source, str):
+        options = options or ScanOptions()
+        frames = [text_lines(spark, s) for s in source]
+        return scan_lines(reduce(DataFrame.union, frames), options)
     options = options or ScanOptions()
     if options.cmd and not source.startswith("ssh://"):
         raise ValueError(f"cmd needs an ssh:// source, not {source}")
-    if (source.endswith(".zst") or source.startswith("ssh://")) and not options.schema and not callable(options.line_filter):
-        options = options.but(schema=kinds_of(source, options))  # the first lines are read here, without a job
     if options.cmd:
         register(spark)
         lines = spark.read.format("logfmt").option("raw", "true").option("options", ScanOptions(cmd=options.cmd).to_json()).load(source)
+        if not options.schema:  # a command runs once: what its schema is inferred from is what is scanned
+            lines = staged(lines, "command")
     else:
+        if (source.endswith(".zst") or source.startswith("ssh://")) and not options.schema and not callable(options.line_filter):
+            options = options.but(schema=kinds_of(source, options))  # the first lines are read here, without a job
         lines = text_lines(spark, source)
     return scan_lines(lines, options)
 

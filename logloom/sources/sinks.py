@@ -29,18 +29,35 @@ def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it. Only where executors are threads of this process, as in tests, may that be unset."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"file:///tmp/checkpoints/{os.getuid()}"
+
+
+def _file(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, path = _file(spark, path)
+    return system.exists(path)
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what outlives the application, such as a fitted model."""
+    return f"{shared_folder(spark)}/kept/{name}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, as spark.checkpoint.dir names it. Only where executors are threads of this process, as in tests, may that be
-    unset. All paths of an application lie in one folder, which is deleted when its JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = f"file:///tmp/checkpoints/{os.getuid()}"
-    folder = f"{base}/{spark.sparkContext.applicationId}"
+    """A new path in the shared folder. All paths of an application lie in one folder, which is deleted when its JVM ends."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
     if folder not in _folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system, path = _file(spark, folder)
         system.mkdirs(path)
         system.deleteOnExit(path)
         _folders.add(folder)

@@ -15,10 +15,10 @@ from logloom.sources.sinks import parquet_path, write_lines
 from logloom.sources.units import UnitSource
 from logloom.streaming.logs import count_by_window, sink_parquet, stream_log
 
-APP = "level=info msg=start n=1 ts=2026-01-22T12:00:00+09:00\nlevel=error msg=boom n=2 ts=2026-01-22T12:00:01+09:00\n\nlevel=info msg=done n=3 ts=2026-01-22T12:00:02+09:00\n"
+APP = "n=1 ts=2031-05-06T08:30:00+05:30 level=info msg=open\nn=2 ts=2031-05-06T08:30:07+05:30 level=error msg=jammed\n\nn=3 ts=2031-05-06T08:31:00+05:30 level=info msg=shut\n"
 MIXED = "level=info n=1\nlevel=error n=2\nlevel=info n=1.5 extra=x\n"
 RAGGED = "level=info msg=a n=1\nlevel=info msg=b\nlevel=info msg=c n=3\n"
-BIG = "".join(f"level={'error' if n % 2 == 0 else 'info'} msg=m n={n}\n" for n in range(1, 2001))
+BIG = "".join(f"n={n} step={n // 7} level={('error', 'info')[n % 2]}\n" for n in range(1, 2001))
 
 
 def values(df, column):
@@ -35,7 +35,7 @@ def app(tmp_path):
 def test_plain_file(spark, app):
     df = scan_log(spark, app)
     assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("level", "string"), ("msg", "string"), ("n", "bigint"), ("ts", "timestamp_ntz")]
-    assert [(r["n"], r["msg"], str(r["ts"])) for r in df.orderBy("n").collect()] == [(1, "start", "2026-01-22 03:00:00"), (2, "boom", "2026-01-22 03:00:01"), (3, "done", "2026-01-22 03:00:02")]
+    assert [(r["n"], r["msg"], str(r["ts"])) for r in df.orderBy("n").collect()] == [(1, "open", "2031-05-06 03:00:00"), (2, "jammed", "2031-05-06 03:00:07"), (3, "shut", "2031-05-06 03:01:00")]
     assert df.count() == df.count() == 3
 
 
@@ -45,7 +45,7 @@ def test_line_filter_and_columns(spark, app):
     plan = df.select("n")._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains" in plan and "BatchEvalPython" not in plan and "MapInPandas" not in plan
     assert values(scan_log(spark, app, ScanOptions(line_filter=lambda line: line.rlike("n=[13]"))), "n") == [1, 3]
-    assert values(scan_log(spark, app, ScanOptions(row_filter=lambda row: row["n"] == "3")), "msg") == ["done"]
+    assert values(scan_log(spark, app, ScanOptions(row_filter=lambda row: row["n"] == "3")), "msg") == ["shut"]
 
 
 def test_missing_values(spark):
@@ -68,17 +68,17 @@ def test_inference_and_widening(spark):
 
 
 def test_schema_overrides(spark):
-    line = 'id="999" score="95.5" enabled=yes code=200 rate=x took=1.5s on=1 at=never'
+    line = 'id="481" score="7.25" enabled=yes code=031 rate=x took=1.5s on=1 at=never'
     schema = {"id": "integer", "score": "float", "enabled": "boolean", "code": "string", "rate": "float", "took": "duration", "on": "boolean", "at": "datetime", "gone": "auto"}
     row = scan_text(spark, line, ScanOptions(schema=schema)).first().asDict()
-    assert row == {"at": None, "code": "200", "enabled": True, "gone": "", "id": 999, "on": False, "rate": 0.0, "score": 95.5, "took": 1_500_000}
+    assert row == {"at": None, "code": "031", "enabled": True, "gone": "", "id": 481, "on": False, "rate": 0.0, "score": 7.25, "took": 1_500_000}
     assert scan_text(spark, "", ScanOptions(schema={"level": "string", "n": "integer"})).count() == 0
 
 
 def test_options():
     assert ScanOptions.from_json('{"line_filter": "x", "aligned_cols_cnt": true}') == ScanOptions(line_filter="x", aligned_cols_cnt=True)
-    with pytest.raises(ValueError, match="line_fliter"):
-        ScanOptions.from_json('{"line_fliter": "x"}')
+    with pytest.raises(ValueError, match="lines_filter"):
+        ScanOptions.from_json('{"lines_filter": "x"}')
     with pytest.raises(ValueError):
         ScanOptions(schema={"a": "number"})
 
@@ -145,7 +145,7 @@ def test_data_source_over_plain_files_and_sql(spark, app):
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW app USING logfmt OPTIONS (path '{app}')")
     assert [r[0] for r in spark.sql("SELECT n FROM app WHERE level = 'info' ORDER BY n").collect()] == [1, 3]
     with pytest.raises(Exception, match="unknown field"):
-        spark.read.format("logfmt").option("options", '{"line_fliter": "x"}').load(app)
+        spark.read.format("logfmt").option("options", '{"lines_filter": "x"}').load(app)
 
 
 # --- units, ssh ---
@@ -189,7 +189,7 @@ def test_ssh_by_a_stub(spark, tmp_path, monkeypatch, app):
     stub.chmod(stub.stat().st_mode | stat.S_IXUSR)
     monkeypatch.setenv("PATH", f"{stub.parent}:{os.environ['PATH']}")
     remote = f"ssh://me@host{app}"
-    assert Bytes(remote).size() == len(APP) and Bytes(remote)(6, 4) == b"info"
+    assert Bytes(remote).size() == len(APP) and Bytes(remote)(7, 4) == b"2031"
     zst = str(tmp_path / "a.log.zst")
     seekzst.write(APP.encode(), zst, 20)
     read = Bytes(f"ssh://me@host{zst}")
@@ -229,7 +229,7 @@ def test_stream(spark, tmp_path):
 
 
 def test_command_line(spark, app, capsys, tmp_path):
-    assert cli.main(["--source", app, "--agg", "count,count_by:level,bytes_sum:n", "--agg-filter", "msg!~boom"], spark) == 0
+    assert cli.main(["--source", app, "--agg", "count,count_by:level,bytes_sum:n", "--agg-filter", "msg!~jam"], spark) == 0
     out = capsys.readouterr().out
     assert "count_by:level" in out and "|4" in out.replace(" ", "")
     assert cli.main(["--source", app, "--out", str(tmp_path / "o.parquet"), "--preview-rows", "0"], spark) == 0
