@@ -3,8 +3,9 @@
 Texts are cut into overlapping windows; both directions run over every window, overlapping scores are averaged, and one
 Viterbi decoding of the whole text reconciles the windows. A place where "outside" leads by more than any transitions could
 win back is outside on the best path, so that only the places between have to be decoded; the result is that of decoding all.
-The net is trained from labelled spans in made-up sentences (fixed seed), which hold the base kinds, their bracketed
-and national forms, and secrets (access keys, tokens, passwords), among numbers, dates, versions and codes that are none.
+The net is trained from labelled spans in made-up sentences (fixed seed), which hold the base kinds, their bracketed,
+spelled-out and national forms, and secrets (access keys, tokens, passwords), among numbers, dates, versions and codes that are none.
+It is fitted once: its weights are kept in the shared folder, under a hash of all that the fit depends on.
 
 Base spans stay as they are; a span of the net is added if it overlaps none of them. Null texts are empty and have no spans; repeated
 rows are read each for itself; an empty table gives no rows. redact() passes other columns through.
@@ -12,6 +13,8 @@ rows are read each for itself; an empty table gives no rows. redact() passes oth
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import exists, kept_path
 from .base import map_batches, table, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = len(KINDS) + 1
-#: Characters a window adds, and those it shares with each neighbour.
-CORE, CONTEXT = 480, 16
+#: Characters a window adds, and those it shares with each neighbour: as many as the longest span that the net is trained on.
+CORE, CONTEXT = 480, 64
 #: Windows that run together, and rows in one Arrow batch: bounds on a worker's memory.
 TOGETHER, ROWS = 1536, 250
 EMBED, HIDDEN, STEPS, BATCH, LENGTH, RATE = 10, 10, 900, 48, 96, 0.02
@@ -92,7 +96,7 @@ def example(rng: np.random.Generator, length: int) -> tuple[str, list[int]]:
     def word() -> str:
         r = rng.random()
         if r < 0.4:
-            w = pick(*"the of and to in at on is it an be by for with as from that a dot com at la de que el en un los der die und zu les et est du me my go no or net org".split())
+            w = pick(*"the of and to in at on is it an be by for with as from that a at la de que el en un los der die und zu les et est du me my go no or at".split())
         elif r < 0.75:  # syllables, now and then many
             w = "".join(some("bcdfghklmnprstvwz", rng.integers(0, 3)) + some("aeiou" + pick("", "éèàüöäßñóíçê"), rng.integers(1, 3)) + some("nrstdl", rng.integers(0, 3)) for _ in range(rng.integers(1, pick(3, 5, 8))))
         else:
@@ -107,7 +111,7 @@ def example(rng: np.random.Generator, length: int) -> tuple[str, list[int]]:
         return dot.join([some(low, rng.integers(2, 10)) + pick("", "", digit(1)) for _ in range(rng.integers(1, 3))] + [pick("com", "org", "net", "de", "fr", "es", "io", "co", "edu", "info")])
 
     def email() -> str:
-        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."), (" @ ", "."))
+        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."), (" @ ", "."), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "))
         who = name()
         return (who if at == "@" else who.replace(".", pick(".", dot))) + at + domain(dot)
 
@@ -276,6 +280,29 @@ def trained() -> dict:
     return Net().fit().tables()
 
 
+@lru_cache(maxsize=1)
+def _name() -> str:
+    """A hash of what the fit depends on: settings, generator and net."""
+    settings = (KINDS, EMBED, HIDDEN, STEPS, BATCH, LENGTH, RATE, POOL, VOCABULARY, np.__version__)
+    return hashlib.sha256(repr(settings).encode() + b"".join(inspect.getsource(f).encode() for f in (example, codes, luhn, Net))).hexdigest()[:16]
+
+
+def net_of(spark: SparkSession) -> dict:
+    """The trained net: that in the shared folder, or else fitted and written there. Writers of the same net may meet; whichever comes first stays."""
+    if not trained.cache_info().currsize:
+        path = kept_path(spark, f"pii-{_name()}")
+        if not exists(spark, f"{path}/_SUCCESS"):
+            net = Net().fit()
+            names = sorted(net.p)
+            rows = [(n, list(net.p[n].shape), net.p[n].astype("<f4").tobytes()) for n in names]
+            spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("ignore").parquet(path)
+        if exists(spark, f"{path}/_SUCCESS"):
+            net = Net()
+            net.p = {r["name"]: np.frombuffer(bytes(r["data"]), "<f4").reshape(r["shape"]).copy() for r in spark.read.parquet(path).collect()}
+        return net.tables()
+    return trained()
+
+
 def scores(windows: np.ndarray, net: dict) -> np.ndarray:
     """Scores of the tags for windows of characters (time, batch) -> (time, batch, tags)."""
     n, batch = windows.shape
@@ -387,7 +414,7 @@ def read(some: list[str], net: dict) -> Iterator[list[tuple[int, int, int]]]:
 
 
 #: What an address has at least, in any of its forms.
-_ADDRESS = re.compile(r"(?:@|[(\[]at[)\]])\s?[\w-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?)[\w-]+)+", re.I)
+_ADDRESS = re.compile(r"(?:@|[(\[]at[)\]])\s?[\w-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?)[\w-]+)+|\w at [\w-]+(?: dot [\w-]+)* dot [a-z]{2,6}\Z", re.I)
 
 
 def plausible(piece: str, kind: int) -> bool:
@@ -399,7 +426,9 @@ def plausible(piece: str, kind: int) -> bool:
         return digits >= 4 and (piece.count(".") == 3 or piece.count(":") >= 2)
     if KINDS[kind] == "card":
         return 12 <= digits <= 19 and luhn("".join(c for c in piece if c.isascii() and c.isdigit()))
-    return 7 <= digits <= 17 if KINDS[kind] == "phone" else digits > 0 or "=" in piece or ":" in piece
+    if KINDS[kind] == "phone":  # 15 digits at most; digits alone are a number like any other, unless they begin as calls abroad do
+        return 7 <= digits <= 15 + 2 * piece.startswith("00") and (not piece.isdigit() or piece.startswith("00"))
+    return digits > 0 or "=" in piece or ":" in piece
 
 
 def all_spans(some: list[str], net: dict) -> Iterator[tuple[list, list]]:
@@ -412,7 +441,7 @@ def all_spans(some: list[str], net: dict) -> Iterator[tuple[list, list]]:
 
 def find(docs: DataFrame, net: dict | None = None) -> DataFrame:
     """docs with base and spans (arrays of kind, start, end in code points) beside its own columns. The net's size is fixed, whatever the input."""
-    held = docs.sparkSession.sparkContext.broadcast(net or trained())
+    held = docs.sparkSession.sparkContext.broadcast(net or net_of(docs.sparkSession))
     rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans")))
     span = "array<struct<kind:string,start:int,end:int>>"
     schema = rows.select("*", F.lit(None).cast(span).alias("base"), F.lit(None).cast(span).alias("spans")).schema
@@ -426,7 +455,7 @@ def find(docs: DataFrame, net: dict | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, net: dict | None = None) -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets; overlapping spans are replaced as one, by the first kind."""
-    held = docs.sparkSession.sparkContext.broadcast(net or trained())
+    held = docs.sparkSession.sparkContext.broadcast(net or net_of(docs.sparkSession))
 
     def apply(batch: pa.RecordBatch) -> dict:
         own = texts(batch)
