@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import between, extract, human_bytes
 from .functions.tokenizer import last_key_wins, parse_map, parse_pairs, render
-from .functions.values import as_string, duration_interval, format_duration, infer_type
+from .functions.values import as_string, convert, duration_interval, format_duration, infer_type
 from .operators import filters, rows
 from .operators.asof import asof_join
 from .options import ScanOptions
@@ -29,9 +29,10 @@ from .plans.schema import infer
 from .sources import seekzst
 from .sources.datasource import register
 from .sources.paths import Bytes
-from .sources.reader import LogReader, scan_lines
+from .sources.reader import LogReader, scan_lines, scan_log, scan_text
 from .sources.sinks import shared_path, staged, write_parquet
 from .sources.units import UnitSource, unit_lines
+from .streaming.logs import count_by_window, sink_parquet, stream_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -506,9 +507,89 @@ def flagship_all(spark, sf_dir):
     return bytes_per_run(staged(run_lines(spark, sf_dir, "true"), "log"))
 
 
+# --- options, other ways in, slices, streams ---
+
+
+@query("SELECT event_id, event_type, user_id, value FROM events WHERE event_type = 'error'")
+def options_json_scan(spark, sf_dir):
+    path = shared_path(spark, "lines")
+    events(spark, sf_dir).write.text(path)
+    return scan_log(spark, path, ScanOptions.from_json(json.dumps({"line_filter": "event_type=error", "schema": EVENT})))
+
+
+@query("SELECT n_name AS name, n_nationkey::BIGINT AS number FROM nation")
+def in_memory_text(spark, sf_dir):
+    """The text of a table that has 25 rows at any scale."""
+    held = table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()
+    return scan_text(spark, "".join(f'name="{r[0]}" number={r[1]}\n' for r in held))
+
+
+@query("SELECT event_id, props FROM events")
+def unescaped_json(spark, sf_dir):
+    return scan_lines(events(spark, sf_dir, "event_id", "props"), ScanOptions(schema={"event_id": "integer", "props": "string"}, unescape=True))
+
+
+@query(ALL_EVENTS)
+def zst_files_scan(spark, sf_dir):
+    return scan_log(spark, [path for path, _ in event_files(spark, sf_dir)], ScanOptions(schema=EVENT))
+
+
+@query("SELECT event_id FROM events WHERE ts BETWEEN (SELECT min(ts) + INTERVAL 1 HOUR FROM events) AND (SELECT min(ts) + INTERVAL 2 DAY FROM events)")
+def time_range_on_texts(spark, sf_dir):
+    at = lambda step: F.date_format(F.min("ts") + F.expr(f"INTERVAL {step}"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    start, end = table(spark, sf_dir, "events").agg(at("1 HOUR"), at("2 DAY")).first()
+    texts = table(spark, sf_dir, "events").select("event_id", rfc3339("ts").alias("ts"))
+    scanned = scan_lines(lines(texts), ScanOptions(schema={"event_id": "integer", "ts": "string"}))
+    return scanned.where(filters.in_time_range(F.col("ts"), start, end)).select("event_id")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts, event_id LIMIT 70 OFFSET 110")
+def slice_of_rows(spark, sf_dir):
+    scanned = scan_datetime_rfc3339(spark, sf_dir).join(scan_parse_events(spark, sf_dir), "event_id")
+    return rows.slice_rows(scanned, 110, 70, ["ts", "event_id"]).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 30")
+def tail_of_rows(spark, sf_dir):
+    return rows.last_rows(scan_parse_events(spark, sf_dir), 30, ["event_id"]).select("event_id", "user_id")
+
+
+@query("SELECT event_id, trunc(value)::BIGINT AS whole, user_id::DOUBLE AS wide, user_id <> 0 AS some, user_id / 1000.0::DOUBLE AS seconds, user_id * 1000 AS micros, 0::BIGINT AS nothing FROM events")
+def casts_between_kinds(spark, sf_dir):
+    df = scan_parse_events(spark, sf_dir).select("event_id", "value", "user_id", (F.col("user_id") * 1000).alias("took"))
+    one = lambda c, source, target, name: convert(F.col(c), source, target).alias(name)
+    return df.select("event_id", one("value", "float", "integer", "whole"), one("user_id", "integer", "float", "wide"), one("user_id", "integer", "boolean", "some"), one("took", "duration", "float", "seconds"), one("took", "duration", "integer", "micros"), one("user_id", "datetime", "integer", "nothing"))
+
+
+@query("SELECT least(700, count(*))::BIGINT AS count, true AS some FROM events")
+def aligned_limit_count(spark, sf_dir):
+    df = scan_lines(events(spark, sf_dir), ScanOptions(schema=EVENT, aligned_cols_cnt=True)).limit(700)
+    return df.agg(F.count("*").alias("count"), (F.countDistinct("event_id") == F.count("*")).alias("some"))
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS count FROM events GROUP BY ALL")
+def count_by_window_of_events(spark, sf_dir):
+    df = scan_parse_events(spark, sf_dir).select("event_id", "event_type").join(scan_datetime_rfc3339(spark, sf_dir), "event_id")
+    out = count_by_window(df, "ts", "event_type")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "count")
+
+
+@query(ALL_EVENTS)
+def stream_sink_roundtrip(spark, sf_dir):
+    source, out, state = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    events(spark, sf_dir).write.text(source)
+    sink_parquet(stream_log(spark, source, ScanOptions(schema=EVENT)), out, state).awaitTermination()
+    return spark.read.parquet(out)
+
+
 # --- what the host engine brings along ---
 
 
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def host_cube_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
 @query("SELECT r_name, count(*) AS n, sum(o_totalprice) > 0 AS some FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def host_joins(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
