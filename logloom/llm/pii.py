@@ -431,11 +431,22 @@ def plausible(piece: str, kind: int) -> bool:
     return digits > 0 or "=" in piece or ":" in piece
 
 
+@lru_cache(maxsize=1)
+def _could() -> re.Pattern:
+    """What some plausible span holds at least, whatever its kind: a digit, one of @ = :, or an address in words."""
+    more = "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal())  # \d has the decimal ones
+    return re.compile(rf"[\d{more}@=:]|[(\[]at[)\]]|\w at [\w-]+(?: dot [\w-]+)* dot [a-z]", re.I)
+
+
 def all_spans(some: list[str], net: dict) -> Iterator[tuple[list, list]]:
-    """Base spans, and all spans: plausible ones of the net are added where they overlap no base span."""
-    for text, more in zip(some, read(some, net), strict=True):
+    """Base spans, and all spans: plausible ones of the net are added where they overlap no base span. Texts that cannot hold a plausible span, as
+    they have nothing of what each kind needs, are not read by the net; the result is that of reading all."""
+    could = _could()
+    held = [k for k, text in enumerate(some) if could.search(text)]
+    found = dict(zip(held, read([some[k] for k in held], net), strict=True))
+    for k, text in enumerate(some):
         base = base_spans(text)
-        free = [s for s in more if plausible(text[s[0] : s[2]], s[1]) and all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
+        free = [s for s in found.get(k, ()) if plausible(text[s[0] : s[2]], s[1]) and all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
         yield base, sorted([*base, *free])
 
 
