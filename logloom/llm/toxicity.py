@@ -140,8 +140,12 @@ def varied(term: str, rng: np.random.Generator) -> list[str]:
     return [put(i, chr(rng.integers(97, 123))) for i in at[:INSERTED]] + [put(i, term[i - 1]) for i in at[INSERTED:]]
 
 
-def examples(sample: list[str], labels: list[int]) -> tuple[dict[str, int], list[str]]:
-    """Toxic terms with the number of distinct toxic sentences that have them, and the terms of the other sentences."""
+#: Terms that begin with the same STEM letters as a toxic one are toxic on a RELATED-th of the evidence.
+STEM, RELATED = 5, 4
+
+
+def examples(sample: list[str], labels: list[int]) -> tuple[dict[str, int], dict[str, int]]:
+    """Toxic terms, and the terms of the other sentences, with the number of distinct sentences that have them."""
     sentence: dict[str, int] = {}
     for text, y in zip(sample, labels, strict=True):
         for s in re.split(r"[.!?\n]+", text.lower()):
@@ -153,8 +157,10 @@ def examples(sample: list[str], labels: list[int]) -> tuple[dict[str, int], list
             seen[term][y] += 1
     share = max(1e-3, sum(sentence.values()) / max(1, len(sentence)))
     need = np.log(1e-3 / max(1, len(seen)))  # few terms would reach this by chance
-    toxic = {t: n[1] for t, n in seen.items() if len(t) > 2 and n[1] > 8 * n[0] and n[1] * (np.log(share) - np.log(n[1] / (n[0] + n[1]))) < need}
-    return toxic, sorted(t for t, n in seen.items() if n[0] and t not in toxic)
+    chance = {t: n[1] * (np.log(share) - np.log(n[1] / (n[0] + n[1]))) for t, n in seen.items() if len(t) > 2 and n[1] > 8 * n[0]}
+    stems = {t[:STEM] for t, c in chance.items() if c < need and len(t) >= STEM}
+    toxic = {t: seen[t][1] for t, c in chance.items() if c < (need / RELATED if t[:STEM] in stems else need)}
+    return toxic, {t: n[0] for t, n in sorted(seen.items()) if n[0] and t not in toxic}
 
 
 def train(sample: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: int = 1) -> dict:
@@ -164,7 +170,8 @@ def train(sample: list[str], labels: list[int], landmarks: int = LANDMARKS, seed
     if len(set(labels)) < 2:
         return none
     rng = np.random.default_rng(seed)
-    toxic, clean = examples(sample, labels)
+    toxic, count = examples(sample, labels)
+    clean = list(count)
     if not toxic or not clean:
         return none
     plus = sorted(toxic, key=lambda t: (-toxic[t], t))  # all are examples; the most frequent are landmarks
@@ -180,7 +187,8 @@ def train(sample: list[str], labels: list[int], landmarks: int = LANDMARKS, seed
         white = vec / np.sqrt(np.maximum(val, 1e-3)) @ vec.T
         terms = [*wider, *minus]
         y = np.array([1.0] * len(wider) + [-1.0] * len(minus))
-        w, b = hinge(kernel(terms, marks) @ white, y, np.concatenate([len(minus) * often / often.mean(), np.full(len(minus), float(len(wider)))]))
+        usual = np.sqrt([count[t] for t in minus])
+        w, b = hinge(kernel(terms, marks) @ white, y, np.concatenate([len(minus) * often / often.mean(), len(wider) * usual / usual.mean()]))
         beta = white @ w / length(len(marks), marks)
         weights = np.zeros(SYMBOLS**3)
         for owner, code, k in subsequences(marks):

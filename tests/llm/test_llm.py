@@ -434,6 +434,30 @@ def test_held_out_accuracy(spark, sf_dir):
     assert query(spark, larger).collect() == query(spark, larger).collect()
 
 
+def test_toxicity_ranks_held_out_rows(sf_dir):
+    """Recall at the threshold and the area under the curve; accuracy alone says little where one row in ten is toxic."""
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    docs = pd.read_parquet(f"{larger}/documents.parquet").merge(pd.read_parquet(f"{larger}/labels.parquet"), on="doc_id")[["doc_id", "text", "toxic"]]
+    docs = list(docs.dropna().drop_duplicates("doc_id").astype({"toxic": int}).itertuples(index=False))
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in docs]
+    model = toxicity.train(*map(list, zip(*((t, y) for h, (_, t, y) in zip(held, docs, strict=True) if not h), strict=True)))
+    rows = [(t, y) for h, (_, t, y) in zip(held, docs, strict=True) if h]
+    a, b = model["scale"]
+    top = np.clip(list(toxicity.largest([t for t, _ in rows], model, {})), *toxicity.LIMITS)
+    score, y = 1 / (1 + np.exp(-(a + b * top))), np.array([y for _, y in rows])
+    pairs = score[y == 1][:, None] - score[y == 0][None, :]
+    assert ((pairs > 0) + 0.5 * (pairs == 0)).mean() > 0.88
+    assert (score[y == 1] >= toxicity.THRESHOLD).mean() > 0.75 and (score[y == 0] >= toxicity.THRESHOLD).mean() < 0.02
+
+
+def test_terms_of_a_toxic_stem_need_less_evidence():
+    clean = [f"{a}{b}" for a in ("mora", "teli", "sodu", "vani") for b in ("ne", "co", "ra", "ti")]
+    rows = [(f"{clean[i % 16]} {clean[i // 16 % 16]} {i}", 0) for i in range(400)]
+    rows += [(f"{clean[i % 16]} quexor{['ta', 'mi'][i >= 30]} {i}", 1) for i in range(33)] + [(f"{clean[i]} brilum {i}", 1) for i in range(3)]
+    toxic, count = toxicity.examples(*zip(*rows, strict=True))
+    assert toxic == {"quexorta": 30, "quexormi": 3} and count["morane"] > 1 and "quexormi" not in count
+
+
 def test_rare_toxic_terms_are_examples(monkeypatch):
     rng = random.Random(6)
     word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
