@@ -17,10 +17,11 @@ def between(text: Column, before: str, after: str) -> Column:
     return F.nullif(F.when(F.contains(rest, F.lit(after)), F.substring_index(rest, after, 1)), F.lit(""))
 
 
-def human_bytes(n: Column) -> Column:
-    """Bytes for people: 1023 B, 1.00 KB, 1.50 MB; the sign stays."""
+def human_bytes(n: Column, largest: str = "TB") -> Column:
+    """Bytes for people: 1023 B, 1.00 KB, 1.50 MB; the sign stays. Larger numbers than those of the largest unit stay in it: 2048.00 MB."""
+    units = ("KB", "MB", "GB", "TB")
     size, out = F.abs(n).cast("double"), None
-    for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
+    for power, unit in reversed(list(enumerate(units[: units.index(largest) + 1], 1))):
         shown = F.format_string(f"%.2f {unit}", F.bround(size / F.lit(float(1024**power)), 2))
         out = F.when(size >= 1024**power, shown) if out is None else out.when(size >= 1024**power, shown)
     return F.when(n < 0, F.concat(F.lit("-"), out.otherwise(F.concat(F.abs(n).cast("string"), F.lit(" B"))))).otherwise(out.otherwise(F.concat(n.cast("string"), F.lit(" B"))))

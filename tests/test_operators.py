@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,19 @@ def test_texts(spark):
     assert [r[0] for r in sizes.select(human_bytes(F.col("n"))).collect()] == ["0 B", "1023 B", "1.00 KB", "1.50 MB", "-2.00 KB", "5.00 TB", None]
 
 
+def test_human_sizes_beyond_megabytes(spark, tmp_path):
+    """Keys as large as those of large tables: the SQL knows no unit above MB, and rounds parts of a byte."""
+    rows_ = [(i, i % 7 + 1, q, k) for i, (q, k) in enumerate([(50.0, 60_000), (50.0, 360_000), (49.0, 29_959), (1.0, 5243), (0.005, 3), (0.015, 1), (None, 1), (1.0, 0), (30.0, 36_700)] * 7)]
+    spark.createDataFrame(rows_, "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.human_sizes(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, con.execute(catalogue.ORACLE_SQL["human_sizes"]).fetchall()))
+    assert "12016.30 MB" in {r[2] for r in got}
+    shown = spark.range(1).select(human_bytes(F.lit(3 << 30)), human_bytes(F.lit(3 << 30), "MB"), human_bytes(F.lit(3 << 20), "KB"), human_bytes(F.lit(-(3 << 30)), "MB"))
+    assert tuple(shown.first()) == ("3.00 GB", "3072.00 MB", "3072.00 KB", "-3072.00 MB")
+
+
 def test_row_index_and_unions(spark):
     df = spark.range(1000).repartition(7).select((F.col("id") * 37 % 1000).alias("v"))
     got = rows.row_index(df, ["v"]).collect()
