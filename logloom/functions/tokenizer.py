@@ -44,7 +44,7 @@ def raw_map(line: Column) -> Column:
     ended = F.concat(line, F.lit("\n"))
     marked = F.regexp_replace(ended, F.lit(f"(?s){_W}*+(?:{PAIR.removeprefix('(?s)')})|{_W}++"), F.lit("$1\x01$2\x02"))
     pairs_ = F.map_from_arrays(F.regexp_extract_all(ended, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(ended, F.lit(PAIR), F.lit(2)))
-    return F.when(line.rlike("[\x01\x02]"), pairs_).otherwise(F.str_to_map(marked, F.lit("\x02"), F.lit("\x01")))
+    return F.when(F.contains(line, F.lit("\x01")) | F.contains(line, F.lit("\x02")), pairs_).otherwise(F.str_to_map(marked, F.lit("\x02"), F.lit("\x01")))
 
 
 def parse_map(line: Column, compat: bool = True) -> Column:

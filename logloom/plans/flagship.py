@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extract
 from ..operators.asof import asof_join
-from ..operators.rows import row_index, sum_first
+from ..operators.rows import row_index, sum_of
 from ..options import ScanOptions
 from ..sources.reader import scan_lines
 from ..sources.sinks import staged
@@ -18,7 +18,10 @@ RUNS = ScanOptions(line_filter='msg="run finished"', schema={"time": "datetime",
 
 def bytes_per_run(lines: DataFrame) -> DataFrame:
     """table_name, finished_id, bytes_sum, first_totals from lines of writes and of finished runs: each write belongs to the next run that finishes after it."""
-    runs = row_index(scan_lines(lines, RUNS), ["time", "totals"], "finished_id").select("finished_id", F.col("time").alias("finished_at"), "totals")
-    writes = scan_lines(lines, WRITES).where(~F.contains("new", F.lit("health_check"))).select("time", "bytes", extract(F.col("new"), "/out/([^/]+)/").alias("table_name"))
-    joined = asof_join(staged(writes, "writes"), runs, "time", "finished_at")
-    return sum_first(joined, ["table_name", "finished_id"], "bytes", "totals", "finished_at", ("bytes_sum", "first_totals"))
+    runs = scan_lines(lines, RUNS).select("time", F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("table_name"), "totals", F.lit(True).alias("is_run"))
+    writes = scan_lines(lines, WRITES).where(~F.contains("new", F.lit("health_check"))).select("time", "bytes", extract(F.col("new"), "/out/([^/]+)/").alias("table_name"), F.lit(None).cast("string").alias("totals"), F.lit(False).alias("is_run"))
+    read = staged(writes.union(runs), "read")  # in one job, so that tasks of either fill all cores
+    runs = row_index(read.where("is_run").select("time", "totals"), ["time", "totals"], "finished_id").select("finished_id", F.col("time").alias("finished_at"), "totals")
+    joined = asof_join(read.where("NOT is_run").select("time", "bytes", "table_name"), runs, "time", "finished_at")
+    # a run has one text of totals: as a key it is hashed, while Spark sorts the rows for an aggregate that is a text
+    return joined.groupBy("table_name", "finished_id", F.col("totals").alias("first_totals")).agg(sum_of("bytes").alias("bytes_sum")).select("table_name", "finished_id", "bytes_sum", "first_totals")

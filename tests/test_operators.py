@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from logloom import catalogue
 from logloom.functions.text import between, extract, human_bytes
-from logloom.operators import filters, rows
+from logloom.operators import asof, filters, rows
 from logloom.operators.asof import asof_join, next_index
+from logloom.plans import flagship
 from logloom.sources.datasource import parts
 
 
@@ -133,5 +134,34 @@ def test_asof_equals_brute_force(spark, direction, allow_equal, by):
     assert {x["i"]: x["j"] for x in got.collect()} == {i: one(k, t) for i, k, t in left}
 
 
+def plans_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flagship_parses_each_line_once_and_makes_no_join_by_time(spark, sf_dir, monkeypatch):
+    """What is staged is read; the as-of join carries its left rows along, so nothing is joined back by time; groups are hashed, not sorted."""
+    written, keep = [], flagship.staged
+    monkeypatch.setattr(flagship, "staged", lambda df, name: written.append(plans_of(df)) or keep(df, name))
+    out = flagship.bytes_per_run(catalogue.run_lines(spark, sf_dir, "true"))
+    assert sum(p.count("regexp_replace") > 0 for p in written) == len(written) == 1
+    plan = plans_of(out)
+    assert not any(word in plan for word in ("regexp_replace", "SortMergeJoin", "SortAggregate [table_name", "SortAggregate(key=[table_name"))
+    assert plan.count("Join") == 1 and plan.count("HashAggregate(keys=[table_name") == 2
+
+
+def test_asof_splits_a_time_that_many_rows_share(spark, monkeypatch):
+    """One time holds nearly all left rows, and several right rows: buckets are of one size still, and all rows get the right row that is first."""
+    n, kept, keep = 8000, [], asof.bucketed
+    monkeypatch.setattr(asof, "bucketed", lambda *a: kept.append(keep(*a)) or kept[-1])
+    left = spark.range(n).selectExpr("id AS i", "CASE WHEN id < 10 THEN id ELSE 100 END AS t")
+    right = spark.createDataFrame([(j, 100 + j // 6, f"x{j % 6}") for j in range(12)], "j int, u long, name string")
+    for allow_equal, wanted in ((True, {(100, 0)}), (False, {(101, 6)})):
+        got = asof_join(left, right, "t", "u", allow_equal=allow_equal, first_by=["name"], buckets=8).collect()
+        assert len({r["i"] for r in got}) == len(got) == n
+        assert {(r["u"], r["j"]) for r in got if r["t"] == 100} == wanted and {(r["u"], r["j"]) for r in got if r["t"] < 100} == {(100, 0)}
+        sizes = [r["count"] for r in kept[-1].groupBy("_b").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+
+
 def test_next_index():
     assert [next_index([0, 60], t) for t in (0, 30, 60, 120)] == [0, 1, 1, None]
